@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stowage.llm import exact_dedup, quality_rules
+from stowage.llm import exact_dedup, minhash, quality_rules
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.query,
+        "op5_minhash_near_dedup": minhash.query,
         "op9_exact_dedup": exact_dedup.query,
     }
 
