@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stowage.llm import exact_dedup, quality_rules
+from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules
 from stowage.llm.common import Scratch, table
 
 
@@ -18,13 +18,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates."""
+    return minhash.deduplicate(docs)
 
-#: Weighted samples, trained token counts and packing have no SQL; tests hold the stages against brute force.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The taken copies in training order; a document that is taken twice is two rows."""
+    return mixing.training_order(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece with its sequence and place."""
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()))
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash_near_dedup", near), ("curriculum_mixing", mix), ("bestfit_packing", pack)]
+
+#: Weighted samples, token ids and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written and read again; returns what the last one gives."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
