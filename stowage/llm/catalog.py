@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules
+from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.query,
+        "op3_kdtree_sharding": sharding.query,
         "op4_curriculum_mixing": mixing.query,
         "op5_minhash_near_dedup": minhash.query,
         "op7_bestfit_packing": packing.query,
+        "op8_ftrl_toxicity": toxicity.query,
         "op9_exact_dedup": exact_dedup.query,
     }
 
