@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules, sharding, toxicity
+from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules, sharding, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_counts.query,
         "op2_quality_rules": quality_rules.query,
         "op3_kdtree_sharding": sharding.query,
         "op4_curriculum_mixing": mixing.query,
         "op5_minhash_near_dedup": minhash.query,
+        "op6_url_filter": url_filter.query,
         "op7_bestfit_packing": packing.query,
         "op8_ftrl_toxicity": toxicity.query,
         "op9_exact_dedup": exact_dedup.query,
@@ -19,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_token_counts": token_counts.ORACLE,
         "op2_quality_rules": quality_rules.oracle(),
         "op9_exact_dedup": exact_dedup.ORACLE,
     }

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from stowage.llm import textvec
 from stowage.llm.common import Scratch, bucket_count, ranked, table
-from stowage.llm.textvec import buffers, slices, word_hashes
+from stowage.llm.textvec import FOLD, buffers, slices, word_hashes
 
 for _module in (textvec, sys.modules[__name__]):  # workers then need no copy of the package
     cloudpickle.register_pickle_by_value(_module)
@@ -48,11 +48,16 @@ ROUNDS = 2000
 STEP, SHARPNESS = 0.1, 4.0
 LAST_OPEN = 3
 #: Words whose ids a worker remembers; beyond, it starts anew.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 class WordTokens:
-    """Token ids of texts, word by word: this vocabulary never joins across white space."""
+    """Token ids of texts, put together from those of words, which are remembered.
+
+    This vocabulary's rules lower the case first, and never join across white space, nor letters or digits
+    with marks; so a text is cut there, and ``The,`` is the remembered ``the`` and ``,``. Marks behind an
+    apostrophe, and whatever touches non-ASCII bytes, stay in one piece.
+    """
 
     def __init__(self, path: str):
         import os
@@ -63,6 +68,16 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """This process's instance: a worker keeps its words from task to task."""
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_stowage_words", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
     def clear(self):
         self.place: dict[int, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -85,14 +100,15 @@ class WordTokens:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ids per row (without end tokens)."""
-        h, counts, first, last = word_hashes(data, offsets)
+        raw = data.tobytes()
+        # the names of special tokens are told by case, so a text that may hold one keeps its case
+        h, counts, first, last = word_hashes(data, offsets, fold=None if b"<|" in raw else FOLD, units=b"<|" not in raw)
         seen, at, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.place) + len(seen) > CACHE_WORDS:
             self.clear()
         keys = seen.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.place]
         if new:
-            raw = data.tobytes()
             self.learn([keys[i] for i in new], [raw[first[j] : last[j]].decode("utf-8", "replace") for j in at[new]])
         where = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
         size = self.count[where]
@@ -104,7 +120,7 @@ class WordTokens:
 
 def _pieces(path: str, capacity: int):
     def run(batches):
-        words = WordTokens(path)
+        words = WordTokens.of(path)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             row, piece, start, length, crc = [], [], [], [], []

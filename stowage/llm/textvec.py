@@ -56,8 +56,23 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words in order, words per row, and the first and behind-last byte of each word."""
+#: 1: ASCII letters and digits, 2: other visible ASCII, 0: all else.
+CLASS = np.array([0 if i <= 32 or i >= 127 else 1 if chr(i).isalnum() else 2 for i in range(256)], np.uint8)
+
+
+def unit_starts(part: np.ndarray) -> np.ndarray:
+    """Where a word changes from ASCII letters and digits to ASCII marks or back; never behind an apostrophe."""
+    kind = CLASS[part]
+    out = np.zeros(len(part), bool)
+    out[1:] = (kind[1:] * kind[:-1] == 2) & (part[:-1] != 39)
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, fold: np.ndarray | None = None, units: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, words per row, and the first and behind-last byte of each word.
+
+    ``apart``: bytes between words; ``fold``: bytes that count as others; ``units``: cut words by ``unit_starts`` too.
+    """
     n = len(data)
     new_row = np.zeros(n + 1, bool)
     new_row[offsets] = True
@@ -77,11 +92,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE
         before[0] = True
         before[1:] = gap[:-1]
         before |= new_row[a:b]
+        cut = unit_starts(part) if units else None
+        if units:
+            before |= cut
         first = np.flatnonzero(before & ~gap)
         after = np.empty(len(part), bool)
         after[-1] = True
         after[:-1] = gap[1:]
         after |= new_row[a + 1 : b + 1]
+        if units:
+            after[:-1] |= cut[1:]
         last = np.flatnonzero(after & ~gap) + 1
         up, down = _power(len(part) + 1)
         total = np.zeros(len(part) + 1, U)
