@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules, sharding, token_counts, toxicity, url_filter
+from stowage.llm import exact_dedup, license_scan, minhash, mixing, packing, quality_rules, sharding, token_counts, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_bestfit_packing": packing.query,
         "op8_ftrl_toxicity": toxicity.query,
         "op9_exact_dedup": exact_dedup.query,
+        "op10_license_scan": license_scan.query,
     }
 
 
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_token_counts": token_counts.ORACLE,
         "op2_quality_rules": quality_rules.oracle(),
+        "op4_curriculum_mixing": mixing.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
     }
