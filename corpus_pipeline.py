@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules
-from stowage.llm.common import Scratch, table
+from stowage.llm.common import Scratch, made, remove, table
+
+
+_left: list = []
+
+
+def _tidy(stage):
+    """A stage that first deletes the working tables of the stage before, whose result is written by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for session, path in _left:
+            if session is spark:
+                remove(spark, path)
+        before = len(made())
+        out = stage(spark, docs, sf_dir)
+        _left[:] = made()[before:]
+        return out
+
+    return run_stage
 
 
+@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that fail are gone from the texts; documents that fail are gone."""
     return quality_rules.clean(docs)
 
 
+@_tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
+@_tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates."""
     return minhash.deduplicate(docs)
 
 
+@_tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The taken copies in training order; a document that is taken twice is two rows."""
     return mixing.training_order(docs)
 
 
+@_tidy
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its sequence and place."""
     return packing.pack(packing.pieces(docs, packing.tokenizer_path()))

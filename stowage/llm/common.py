@@ -47,6 +47,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def made() -> list[tuple[SparkSession, str]]:
+    """The scratch folders that this process has made so far."""
+    return list(_made)
+
+
 def _sweep() -> None:
     for spark, path in _made:
         try:
@@ -107,25 +112,34 @@ def broadcast_if_small(df: DataFrame, n_rows: int, row_bytes: int, limit: int =
     return F.broadcast(df) if n_rows * row_bytes <= limit else df
 
 
-def bucket_count(n_rows: int, per_bucket: int = 50_000, least: int = 8) -> int:
+def bucket_count(n_rows: int, per_bucket: int = 20_000, least: int = 64) -> int:
     """Hash buckets such that a bucket holds about ``per_bucket`` rows at any input size."""
     return max(least, -(-n_rows // per_bucket))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], buckets: int, out: str = "rank", weight: str | None = None, before: str = "before") -> DataFrame:
+def hash_bucket(x: Column, buckets: int) -> Column:
+    """The bucket of a number from 0 to 2**32 - 1; buckets ascend with it."""
+    return F.shiftright(x.cast("long") * F.lit(buckets), 32).cast("int")
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], buckets: int, scratch: Scratch, out: str = "rank", weight: str | None = None, before: str = "before", spread: Column | None = None, totals_of: DataFrame | None = None) -> DataFrame:
     """Gapless ranks from 0 in each group (and the weight ahead of each row), in no single task per group.
 
-    Rows are ordered by a hash bucket, then by ``order`` inside the bucket. A window sorts one bucket of
-    one group at a time; the offsets of the buckets come from a small table of bucket totals. ``df`` must
-    be stable (a written table), and rows that tie in ``order`` must be equal in all columns that matter.
+    Rows are ordered by a bucket, then by ``order`` inside the bucket. A window sorts one bucket of one
+    group at a time; the offsets of the buckets come from a table of bucket totals. The bucket is that of
+    ``spread`` (0 to 2**32 - 1), or of a hash of ``order``; if ``spread`` ascends with ``order``, the ranks are
+    those in ``order``. Rows that tie in ``order`` must be equal in all that matters. ``totals_of`` may
+    name narrower rows with the same groups, weights and ``spread``, to count the totals from.
     """
     b, keys = "__bucket", [*group, "__bucket"]
-    df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *([F.sum(weight).alias("__w")] if weight else []))
+    bucket = hash_bucket(F.xxhash64(*order).bitwiseAND((1 << 32) - 1) if spread is None else spread, buckets)
+    totals = (df if totals_of is None else totals_of).withColumn(b, bucket).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *([F.sum(weight).alias("__w")] if weight else []))
     ahead = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(keys)], F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"), *([F.coalesce(F.sum("__w").over(ahead), F.lit(0)).alias("__w0")] if weight else []))
+    totals = scratch.keep(totals, "totals")
+    totals = broadcast_if_small(totals, totals.count(), 128)
     inside = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("__rn", F.row_number().over(inside) - 1)
+    df = df.withColumn(b, bucket).withColumn("__rn", F.row_number().over(inside) - 1)
     if weight:
         df = df.withColumn("__rw", F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(keys)]

@@ -2,7 +2,7 @@
 
 Training time runs from 0 to 1. Each source has a weight schedule, a line from its weight at time 0 to its
 weight at time 1; integrated and scaled to the source's target, that is the source's cumulative token
-demand ``D(t)``. The documents of a source stand in an order by hash, as often as the target is larger
+demand ``D(t)``. The documents of a source stand in an order by a hash (MD5) of their ids, as often as the target is larger
 than the source, so the words ahead of a copy of a document are known; inverting ``D`` at them gives the
 copy's training position, and the corpus is range-sorted by position.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stowage.llm.common import Scratch, bucket_count, ranked, table, word_count
+from stowage.llm.common import Scratch, broadcast_if_small, bucket_count, ranked, table, word_count
 
 MOST_EPOCHS = 3
 #: Slope of the schedule by the source's weight: heavier sources are shown more towards the end.
@@ -60,33 +60,42 @@ def _position(ahead: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, x).otherwise(root)
 
 
-def curriculum(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: size, source_size, target, taken, and the positions of its copies."""
-    spark, carry = docs.sparkSession, carry or []
-    s = Scratch(spark, "mixing")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("h"), *[F.col(c).alias(f"c_{c}") for c in carry])
-    rows = s.keep(rows, "rows")
-    sizes = s.keep(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sizes")
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, keep: list[str]) -> DataFrame:
+    """``keep`` and doc_id, size, source_size, target, taken, copies, positions of every row.
+
+    The totals of sources and buckets come from a narrow written table. With nothing to keep, so do the
+    rows; else the rows are read again and go through one window with what is to be kept.
+    """
+    s = Scratch(docs.sparkSession, "mixing")
+    turn = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    spread = F.conv(F.substring("turn", 1, 8), 16, 10).cast("long")
+    wide = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), turn.alias("turn"), F.xxhash64(text).alias("h"))
+    narrow = s.keep(wide.select("doc_id", "source", "size", "turn", "h"), "narrow")
+    sizes = s.keep(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sizes")
     n = sizes.agg(F.sum("n")).first()[0] or 0
     plan = s.keep(targets(sizes.drop("n"), s), "targets")
-    # per source, the words ahead of each document in an order by hash
-    placed = ranked(rows, ["source"], [F.xxhash64("doc_id", "h"), F.col("doc_id"), F.col("h")], bucket_count(n), "rank", "size", "ahead")
-    placed = placed.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    plan = broadcast_if_small(plan.withColumnRenamed("source", "of"), plan.count(), 256)
+    rows = wide if keep else narrow
+    placed = ranked(rows, ["source"], [F.col("turn"), F.col("doc_id"), F.col("h")], bucket_count(n), s, "rank", "size", "ahead", spread, narrow)
+    placed = placed.join(plan, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     slope = F.create_map(*[x for k, v in SLOPES.items() for x in (F.lit(float(k)), F.lit(v))])[F.col("weight")]
     # copy e starts at e * source_size + ahead; it is taken if half of it or more lies before the target
     room = F.try_divide(F.col("target") - F.col("ahead") - F.col("size") / 2, F.col("source_size"))
     copies = F.when(F.col("size") > 0, F.least(F.lit(MOST_EPOCHS), F.greatest(F.lit(0), F.floor(room) + 1))).otherwise(0).cast("int")
     placed = placed.withColumn("copies", copies)
     starts = F.transform(F.filter(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1)), lambda e: e < F.col("copies")), lambda e: _position(e * F.col("source_size") + F.col("ahead"), F.col("target"), slope))
-    return placed.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", starts.alias("positions"), *[F.col(f"c_{c}").alias(c) for c in carry if c != "doc_id"]
-    )
+    return placed.select(*[F.col(f"k_{c}").alias(c) for c in keep], *([] if keep else ["doc_id"]), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", starts.alias("positions"))
+
+
+def curriculum(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, and the positions of its copies."""
+    return _mixed(docs, doc_id, text, source, [])
 
 
 def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The corpus as it is to be read: each taken copy is a row with the columns of ``docs``, range-sorted by position."""
-    mixed = curriculum(docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("__row")), doc_id, text, source, carry=["__row"])
-    copies = mixed.select("__row", F.explode("positions").alias("__at"))
+    whole = docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    copies = _mixed(whole, doc_id, text, source, ["__row"]).select("__row", F.explode("positions").alias("__at"))
     return copies.repartitionByRange("__at").sortWithinPartitions("__at").select("__row.*")
 
 
@@ -95,3 +104,25 @@ def query(spark, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     mixed = mixed.withColumn("position", F.get("positions", F.lit(0))).drop("positions")
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position")
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS turn FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM s),
+-- sources in the order in which they reach their bound; the share per weight once those before are held
+r AS (SELECT *, {MOST_EPOCHS} * source_size AS bound, row_number() OVER o AS k, coalesce(sum({MOST_EPOCHS} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+    sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open, sum(source_size) OVER () AS total
+    FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)),
+h AS (SELECT CAST(total - held AS DOUBLE) / CAST(open AS DOUBLE) AS share FROM r WHERE bound >= weight * (CAST(total - held AS DOUBLE) / CAST(open AS DOUBLE)) ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, CAST(weight AS INT) AS weight, least(CAST(bound AS DOUBLE), weight * (SELECT share FROM h)) AS target FROM w JOIN (SELECT source AS s2, bound FROM r) ON source IS NOT DISTINCT FROM s2),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.weight,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, CAST(CASE WHEN size > 0 THEN least({MOST_EPOCHS}, greatest(0, floor((target - ahead - size / 2) / source_size) + 1)) ELSE 0 END AS INT) AS copies,
+    CASE weight {' '.join(f'WHEN {k} THEN {v}' for k, v in SLOPES.items())} END AS slope, least(1.0, ahead / target) AS x FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies,
+    CASE WHEN copies = 0 THEN NULL WHEN slope = 0 THEN x
+        ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * x) - (1 - slope)) / (2 * slope) END AS position
+FROM c
+""".replace("\\\\", "\\")

@@ -298,7 +298,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut = s.keep(cut, "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     frame, _, _ = plan(histogram, capacity)
-    ranks = ranked(cut, ["length"], [F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], bucket_count(sum(histogram.values())))
+    ranks = ranked(cut, ["length"], [F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], bucket_count(sum(histogram.values())), s)
     frame = frame.sort_values(["length", "lo"])
     length0, lo, seq0, slot = (frame[c].to_numpy(np.int64) for c in ("length", "lo", "sequence0", "slot"))
     # an interval is found by (length, rank) in one sorted list; ranks of a length stay below 2**48

@@ -155,7 +155,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     tree = grow(rows, shards)
     put = rows.withColumn("shard", place(tree, lambda n: F.lit(n.first_leaf)).cast("int"))
     put = put.select("doc_id", "size", "text_crc32", "shard", "tail")
-    put = ranked(put, ["shard"], [F.col("tail"), F.col("doc_id"), F.col("text_crc32")], bucket_count(total.n // shards), "slot")
+    put = ranked(put, ["shard"], [F.col("tail"), F.col("doc_id"), F.col("text_crc32")], bucket_count(total.n // shards), s, "slot")
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
