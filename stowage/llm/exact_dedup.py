@@ -90,10 +90,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
-    told = classes(docs, doc_id, text, carry=docs.columns)
-    kept = told.filter("kept")
-    n = len(told.columns) - len(docs.columns)
-    return kept.toDF(*[f"__{i}" for i in range(n)], *docs.columns).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    return classes(whole, "__id", "__text", carry=["__row"]).filter("kept").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
