@@ -342,7 +342,7 @@ def backup(spark: SparkSession, root: str, out: str, ignore: list[str] | None =
     prior = store.members()
     inc = delta.incremental(files, prior.select("path", "size", "mtime_ns", "frame"))
     code = F.when(F.col("kind") == "dir", -1).when(F.col("kind") == "symlink", SYMLINK).otherwise(HARDLINK)
-    others = scanned.filter("kind <> 'file'").select("path", F.lit(0).alias("size"), "mode", "mtime_ns", "uid", "gid", code.alias("frame"), "link")
+    others = scanned.filter("kind <> 'file'").select("path", F.when(F.col("kind") == "dir", 0).otherwise(F.col("size")).alias("size"), "mode", "mtime_ns", "uid", "gid", code.alias("frame"), "link")
     carried = prior.join(inc.filter("unchanged").select("path"), "path", "left_semi")
     changed = inc.filter("NOT unchanged").drop("unchanged")
     counts = inc.groupBy("unchanged").agg(F.count(F.lit(1)).alias("n")).collect()

@@ -241,3 +241,74 @@ def test_rolling_literal():
     assert ct.literal_bytes(old, old, 4096) == len(old) % 4096
     assert ct.literal_bytes(old, old[:9000] + b"x" + old[9000:], 4096) <= 2 * 4096 + 1
     assert ct.literal_bytes(b"", old, 4096) == len(old)
+
+
+def test_frame_archive(spark, tmp_path):
+
+    from stowage.sources import frame_archive as fa
+
+    rows = [("/".join(["long" * 20] * (i % 3 + 1)) + f"/f{i:04d}", bytearray(member(i)), 0o644, (1_600_000_000 + i) * 10**9, 0, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "path string, content binary, mode long, mtime_ns long, uid long, gid long").repartition(4)
+    want = {r[0]: bytes(r[1]) for r in rows}
+    index = fa.write(df, str(tmp_path / "one"), frame_bytes_cap=60_000, rows_per_batch=20)
+    assert index.count() == 60 and index.rdd.getNumPartitions() == len(fa.directory(str(tmp_path / "one"))["batches"]) >= 3
+    assert index.groupBy("frame").agg(F.count_distinct("coff").alias("n")).filter("n > 1").count() == 0
+    assert {r.path: bytes(r.content) for r in fa.contents(index).collect()} == want
+    data = (tmp_path / "one").read_bytes()[: fa.directory(str(tmp_path / "one"))["batches"][0][0] - 8]
+    raw = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
+    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+        assert {m.name: t.extractfile(m).read() for m in t} == want
+    assert fa.authentic(str(tmp_path / "one")) == {"bad": [], "root_ok": True, "commit_ok": True}
+    assert fa.snapshots(spark, str(tmp_path / "one")).count() == 1
+    many = fa.write(df, str(tmp_path / "many"), frame_bytes_cap=60_000, shards=3, tar=False)
+    assert {r.shard for r in many.select("shard").distinct().collect()} == {0, 1, 2}
+    assert {r.path: bytes(r.content) for r in fa.contents(many.filter("path LIKE '%f000%'")).collect()} == {p: b for p, b in want.items() if "f000" in p}
+    both = fa.read(spark, str(tmp_path / "*[ey]"))
+    assert both.groupBy("store").count().count() == 2
+    broken = bytearray((tmp_path / "one").read_bytes())
+    broken[fa.directory(str(tmp_path / "one"))["batches"][1][0] + 5] ^= 1
+    (tmp_path / "broken").write_bytes(broken)
+    assert fa.authentic(str(tmp_path / "broken"))["bad"] == [1]
+    ext = [{"coff": 1, "clen": 2, "in_off": 3, "len": 4, "out_off": 5, "shard": 6}]
+    assert fa.parse_extents(fa.pack_extents(ext)) == ext
+    import struct
+
+    assert fa.parse_extents(struct.pack("<I5Q", 1, 1, 2, 3, 4, 5))[0]["shard"] == 0
+    chunks = [{"len": 9, "id": b"x" * 16}]
+    assert fa.parse_chunks(fa.pack_chunks(chunks)) == chunks
+
+
+def test_command_line_and_http(spark, tmp_path, capsys):
+    import json
+    import threading
+    import urllib.request
+
+    from stowage.__main__ import main
+    from stowage.serve import Browser, server
+
+    def say(*argv):
+        code = main([str(x) for x in argv])
+        return code, [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+
+    root, store = tree(tmp_path / "t"), tmp_path / "s"
+    assert say("backup", root, store)[1][0]["packed"] == 32
+    assert say("scan", store)[1][0]["files"] == 32 and say("scan", store, "--glob", "dir1/*")[1][0]["files"] == 8
+    assert say("verify", store) == (0, [{"ok": 32, "truncated_frames": 0}]) and say("verify", store, "--merkle")[0] == 0
+    assert say("verify", store, "--complete", root) == (0, [])
+    assert len(say("find", root, "--name", "f000?.bin", "--min-size", "1000")[1]) == 9
+    assert say("du", root)[1][0]["files"] == 35 and len(say("snapshots", store)[1]) == 1
+    (root / "dir0/f0000.bin").write_bytes(b"x")
+    assert say("diff", root, store)[1] == [{"path": "dir0/f0000.bin", "status": "changed"}]
+    assert say("unpack", store, tmp_path / "u")[1][0]["files"] == 32
+    assert say("push", store, tmp_path / "p")[1] == [{"sent": [0]}] and say("pull", tmp_path / "p", tmp_path / "q")[1] == [{"sent": [0]}]
+    assert say("stats", store)[0] == 0 and say("gc", store, "--last", "1")[1] == [{"kept": [0]}]
+    http = server(Browser(spark, str(store)))
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}{p}").read()
+    assert json.loads(get("/api/stats"))["members"] == 32
+    found = json.loads(get("/api/members?q=f000&ext=bin&limit=3"))
+    assert found["total"] == 10 and len(found["rows"]) == 3
+    assert get("/api/member/dir1/deep0/f0001.bin") == member(1)
+    with pytest.raises(urllib.error.HTTPError):
+        get("/api/member/none")
+    http.shutdown()
