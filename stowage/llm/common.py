@@ -122,8 +122,8 @@ def hash_bucket(x: Column, buckets: int) -> Column:
     return F.shiftright(x.cast("long") * F.lit(buckets), 32).cast("int")
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], buckets: int, scratch: Scratch, out: str = "rank", weight: str | None = None, before: str = "before", spread: Column | None = None, totals_of: DataFrame | None = None) -> DataFrame:
-    """Gapless ranks from 0 in each group (and the weight ahead of each row), in no single task per group.
+def ranked(df: DataFrame, group: list[str], order: list[Column], buckets: int, scratch: Scratch, out: str = "rank", weights: dict[str, Column] | None = None, spread: Column | None = None, totals_of: DataFrame | None = None) -> DataFrame:
+    """Gapless ranks from 0 in each group, and under each name of ``weights`` the weight ahead of a row, in no single task per group.
 
     Rows are ordered by a bucket, then by ``order`` inside the bucket. A window sorts one bucket of one
     group at a time; the offsets of the buckets come from a table of bucket totals. The bucket is that of
@@ -131,20 +131,17 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], buckets: int, s
     those in ``order``. Rows that tie in ``order`` must be equal in all that matters. ``totals_of`` may
     name narrower rows with the same groups, weights and ``spread``, to count the totals from.
     """
-    b, keys = "__bucket", [*group, "__bucket"]
+    b, keys, sums = "__bucket", [*group, "__bucket"], {"__rank": F.lit(1).cast("long"), **(weights or {})}
     bucket = hash_bucket(F.xxhash64(*order).bitwiseAND((1 << 32) - 1) if spread is None else spread, buckets)
-    totals = (df if totals_of is None else totals_of).withColumn(b, bucket).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *([F.sum(weight).alias("__w")] if weight else []))
-    ahead = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(keys)], F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n0"), *([F.coalesce(F.sum("__w").over(ahead), F.lit(0)).alias("__w0")] if weight else []))
+    totals = (df if totals_of is None else totals_of).withColumn(b, bucket).groupBy(*keys).agg(*[F.sum(w).alias(f"__t{i}") for i, w in enumerate(sums.values())])
+    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(keys)], *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__o{i}") for i in range(len(sums))])
     totals = scratch.keep(totals, "totals")
-    totals = broadcast_if_small(totals, totals.count(), 128)
+    totals = broadcast_if_small(totals, totals.count(), 64 + 64 * len(sums))
     inside = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn(b, bucket).withColumn("__rn", F.row_number().over(inside) - 1)
-    if weight:
-        df = df.withColumn("__rw", F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    here = inside.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(b, bucket).withColumns({"__r0": F.row_number().over(inside) - 1, **{f"__r{i}": F.coalesce(F.sum(w).over(here), F.lit(0)) for i, w in enumerate(sums.values()) if i}})
     same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(keys)]
     joined = df.join(totals, on=same, how="left")
-    joined = joined.withColumn(out, (F.col("__n0") + F.col("__rn")).cast("long"))
-    if weight:
-        joined = joined.withColumn(before, F.col("__w0") + F.col("__rw"))
-    return joined.drop("__n0", "__w0", "__rn", "__rw", b, *[f"__g{i}" for i in range(len(keys))])
+    joined = joined.withColumns({(out if not i else name): (F.col(f"__o{i}") + F.col(f"__r{i}")).cast("long") for i, name in enumerate(sums)})
+    return joined.drop(b, *[f"__g{i}" for i in range(len(keys))], *[f"__{k}{i}" for k in "or" for i in range(len(sums))])
