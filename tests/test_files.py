@@ -312,3 +312,19 @@ def test_command_line_and_http(spark, tmp_path, capsys):
     with pytest.raises(urllib.error.HTTPError):
         get("/api/member/none")
     http.shutdown()
+
+
+def test_records_of_a_growing_file(spark, tmp_path):
+    from stowage.operators import telemetry
+    from stowage.sources import records
+
+    rows = [{"frame": i, "coff": i * 10, "clen": 10, "t0_ns": i, "t1_ns": i + 1_000_000, "in_bytes": 2_000_000, "jq_depth": 1, "busy": 2, "worker": 3, "sink": 0} for i in range(100)]
+    records.write_records(rows[:60], str(tmp_path / "r"))
+    records.write_records(rows[60:], str(tmp_path / "r"))
+    with open(tmp_path / "r", "ab") as f:
+        f.write(b"half a record")
+    got = records.read_records(spark, str(tmp_path / "r"))
+    assert [{k: r[k] for k in rows[0]} for r in got.orderBy("no").collect()] == rows
+    members = spark.createDataFrame([("a/b/c", 5), ("a/a/c", 5)], "path string, frame long")
+    costs = {r.frame: r for r in telemetry.frame_costs(got, members).collect()}
+    assert costs[5].root == "a/a" and costs[5].mb_s == 2000.0 and costs[6].root is None
