@@ -328,3 +328,13 @@ def test_records_of_a_growing_file(spark, tmp_path):
     members = spark.createDataFrame([("a/b/c", 5), ("a/a/c", 5)], "path string, frame long")
     costs = {r.frame: r for r in telemetry.frame_costs(got, members).collect()}
     assert costs[5].root == "a/a" and costs[5].mb_s == 2000.0 and costs[6].root is None
+
+
+def test_numbers_follow_the_order(spark):
+    from stowage.operators.members import numbered
+
+    df = spark.range(5000).selectExpr("cast(id * 7919 % 5000 as string) k", "id % 3 x").unionByName(spark.createDataFrame([(None, 1)], "k string, x long")).repartition(9)
+    got = numbered(df, ["k", "x"], start=5, per_range=300).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(5, 5006))
+    assert [r.k for r in got] == [None, *sorted(str(i) for i in range(5000))]
+    assert numbered(df.limit(0), ["k"]).count() == 0
