@@ -11,8 +11,8 @@ a lost attempt has written without it is replaced by the next attempt, and a bat
 left as it is, so a batch counts once however often it is sent.
 
 Tokenizer versions are named functions of the text; ``words-1`` and ``words-2`` are expressions, and
-``bpe_version`` makes one of a public BPE vocabulary, run over Arrow batches. The ledger is partitioned by
-batch; a batch reads only the ledger rows of the documents that it changes.
+``bpe_version`` makes one of a public BPE vocabulary, run over Arrow batches. The ledger is a folder
+per batch; a batch adds up only the ledger rows of the documents that it changes.
 
 Defined cases: a null or empty text has no tokens, and its document counts as one. Null sources and
 languages are groups of their own; a null doc_id can be inserted, and no change can name it again. Rows
@@ -73,9 +73,12 @@ class Rollup:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{kind}/{b}" for b in done])
 
-    def ledger(self) -> DataFrame:
-        """What is counted now: doc_id, source, lang, version, docs, tokens."""
-        held = self._read("ledger", LEDGER).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    def ledger(self, of: DataFrame | None = None) -> DataFrame:
+        """What is counted now: doc_id, source, lang, version, docs, tokens; of some (doc_id, version), whose rows alone are added up."""
+        held = self._read("ledger", LEDGER)
+        if of is not None:
+            held = held.join(of, ["doc_id", "version"], "left_semi").select("doc_id", *KEYS, "docs", "tokens")
+        held = held.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return held.filter("docs <> 0 OR tokens <> 0")
 
     def totals(self) -> DataFrame:
@@ -99,7 +102,7 @@ class Rollup:
             told = revisions.select("doc_id", "version")
             gone = told if gone is None else gone.unionByName(told)
         if gone is not None:
-            old = self.ledger().join(gone.distinct(), ["doc_id", "version"], "left_semi")
+            old = self.ledger(gone.distinct())
             rows = rows.unionByName(old.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         return rows
 
