@@ -48,7 +48,9 @@ ROUNDS = 2000
 STEP, SHARPNESS = 0.1, 4.0
 LAST_OPEN = 3
 #: Words whose ids a worker remembers; beyond, it starts anew.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS, CACHE_IDS = 1 << 19, 1 << 24
+#: Words that are looked up at a time.
+STEP_WORDS = 1 << 18
 
 
 class WordTokens:
@@ -103,8 +105,19 @@ class WordTokens:
         raw = data.tobytes()
         # the names of special tokens are told by case, so a text that may hold one keeps its case
         h, counts, first, last = word_hashes(data, offsets, fold=None if b"<|" in raw else FOLD, units=b"<|" not in raw)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(h), STEP_WORDS):
+            part = self._ids_of(h[i : i + STEP_WORDS], raw, first[i : i + STEP_WORDS], last[i : i + STEP_WORDS])
+            ids.append(part[0])
+            sizes.append(part[1])
+        done = np.cumsum(np.concatenate(sizes))
+        row_end = np.append(0, done)[np.cumsum(counts)]
+        return np.concatenate(ids), np.diff(np.append(0, row_end))
+
+    def _ids_of(self, h: np.ndarray, raw: bytes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
         seen, at, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.place) + len(seen) > CACHE_WORDS:
+        if len(self.place) + len(seen) > CACHE_WORDS or self.used > CACHE_IDS:
             self.clear()
         keys = seen.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.place]
@@ -113,9 +126,7 @@ class WordTokens:
         where = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
         size = self.count[where]
         done = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[where] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
-        row_end = np.append(0, done)[np.cumsum(counts)]
-        return ids, np.diff(np.append(0, row_end))
+        return self.ids[np.repeat(self.start[where] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)], size
 
 
 def _pieces(path: str, capacity: int):

@@ -1,11 +1,14 @@
 """Words and shingles of Arrow text columns as numpy arrays of 64-bit hashes, with no loop over words.
 
 The hash of a word is a polynomial over its bytes modulo 2**64, read off prefix sums, and mixed with its
-length. Texts are cut at white space into blocks, so working memory does not follow the text.
+length. Texts are cut between words into blocks, so working memory does not follow the text; a word that is
+longer than two blocks is hashed by itself (BLAKE2b).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -68,6 +71,23 @@ def unit_starts(part: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bounds(data: np.ndarray, new_row: np.ndarray, apart: np.ndarray, units: bool, a: int, b: int) -> np.ndarray:
+    """At which places of [a, b) no word goes on from the byte before (a is at least 1)."""
+    out = apart[data[a:b]] | apart[data[a - 1 : b - 1]] | new_row[a:b]
+    return out | unit_starts(data[a - 1 : b])[1:] if units else out
+
+
+def _between(data: np.ndarray, new_row: np.ndarray, apart: np.ndarray, units: bool, b: int) -> int:
+    """The first place from ``b`` on where no word goes on."""
+    step = 4096
+    while b < len(data):
+        part = _bounds(data, new_row, apart, units, b, min(len(data), b + step))
+        if part.any():
+            return b + int(part.argmax())
+        b, step = b + len(part), min(step * 2, 1 << 22)
+    return len(data)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, fold: np.ndarray | None = None, units: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words in order, words per row, and the first and behind-last byte of each word.
 
@@ -80,12 +100,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE
     a = 0
     while a < n:
         b = min(n, a + BLOCK)
-        while b < n:  # up to a place between words
-            part = apart[data[b : b + 4096]] | new_row[b : b + len(data[b : b + 4096])]
-            if part.any():
-                b += int(part.argmax())
-                break
-            b += len(part)
+        if b < n:  # up to a place between words, which is near but for words as long as a block
+            b = _between(data, new_row, apart, units, b)
+            if b - a > 2 * BLOCK:
+                near = np.flatnonzero(_bounds(data, new_row, apart, units, a + 1, a + BLOCK))
+                if len(near):
+                    b = a + 1 + int(near[-1])
+                elif not apart[data[a]]:  # one long word from here on
+                    word = data[a:b] if fold is None else fold[data[a:b]]
+                    hashes.append(np.frombuffer(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "<u8").astype(U))
+                    firsts.append(np.array([a]))
+                    lasts.append(np.array([b]))
+                    a = b
+                    continue
+                else:
+                    b = a + 1
         part = data[a:b]
         gap = apart[part]
         before = np.empty(len(part), bool)

@@ -82,6 +82,21 @@ def test_word_hashes_tell_words_apart():
     assert len(set(by.values())) == len(by)
 
 
+def test_word_hashes_of_long_words():
+    rng = np.random.default_rng(0)
+    n = 2 * textvec.BLOCK
+    texts = ["q" * (n + 7), "a b " + "é" * n + " c", "x" * 3 * n + "," + "y" * 3 * n + ".z w", None, "".join(rng.choice(list("ab ,'é"), 3 * n)), " " * 3 * n + "end", "q" * (n + 7)]
+    for units in (False, True):
+        data, offsets = textvec.buffers(pa.array(texts))
+        h, counts, first, last = textvec.word_hashes(data, offsets, units=units)
+        raw = data.tobytes()
+        words = [raw[i:j].decode() for i, j in zip(first, last)]
+        cut = lambda w: re.split(r"(?<=[A-Za-z0-9])(?=[^A-Za-z0-9\x80-\U0010ffff])|(?<=[^A-Za-z0-9'\x80-\U0010ffff])(?=[A-Za-z0-9])", w)
+        assert words == [u for t in texts for w in split(t) for u in (cut(w) if units else [w])]
+        assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+        assert counts.sum() == len(h)
+
+
 def test_windows_of_short_rows():
     h = np.arange(1, 10, dtype=np.uint64)
     _, made, at = textvec.windows(h, np.array([0, 1, 3, 5]), 5)
