@@ -48,11 +48,13 @@ VERSIONS: dict[str, Callable[[Column], Column]] = {"words-1": word_count, "words
 def bpe_version(path: str) -> Callable[[Column], Column]:
     """A version that counts the ids of a public BPE vocabulary (``tokenizers`` file at ``path``)."""
     from stowage.llm.packing import WordTokens
-    from stowage.llm.textvec import buffers
+    from stowage.llm.textvec import buffers, slices
 
     @F.arrow_udf("long")
     def count(text: pa.Array) -> pa.Array:
-        return pa.array(WordTokens.of(path).encode(*buffers(text))[1])
+        data, offsets = buffers(text)
+        parts = [WordTokens.of(path).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[1] for a, b in slices(offsets)]
+        return pa.array([int(n) for part in parts for n in part], pa.int64())
 
     return lambda text: count(F.coalesce(text, F.lit("")))
 
