@@ -5,7 +5,9 @@ other marks, entropy of the characters, counts of parameters, labels and hyphens
 host's last label and last two labels, how often the suffix is blocked among the labelled urls (smoothed)
 and how common it is there. Trees are Spark ML's, trained from labelled urls: those that a rule decides
 (or a table of labels that the caller has), at most MAX_TRAINING of them, those first in an order by hash.
-The model and the suffix table are bounded by that number.
+The model and the suffix table are bounded by that number. Where the caller has no labels, this is learning from
+positive and unlabelled urls: those that a rule blocks, or whose host holds a word of SEED_WORDS, are blocked;
+those that a rule allows are allowed, and the undecided ones in the sample count as allowed at half weight.
 
 Everything on the way is DataFrame expressions and JVM code: no Python runs on the executors.
 
@@ -27,7 +29,10 @@ from stowage.llm.common import Scratch, table
 
 #: Host and path of the rules.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+#: Parts of host names that blocklists are full of.
+SEED_WORDS = ("casino", "cheap", "pills", "spam", "viagra", "poker", "porn", "xxx", "payday", "replica", "warez", "lottery")
 MAX_TRAINING = 5_000
+UNLABELLED_WEIGHT = 0.5
 TREES, DEPTH, SMOOTH = 20, 4, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -90,7 +95,7 @@ def suffix_statistics(labelled: DataFrame, level: str, base: float) -> DataFrame
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, str] = RULES, key: str = "page_id", url: str = "url", most: int = MAX_TRAINING) -> DataFrame:
     """One row per row of ``pages``: key, host, path, rule, verdict, probability (of block; null where a rule decides).
 
-    ``labels``: url, label (1: block), besides the urls that rules decide.
+    ``labels``: url, label (1: block), besides the urls that rules decide; without, see above.
     """
     s = Scratch(pages.sparkSession, "urls")
     named = pages.select(F.col(key), F.col(url).alias("url"))
@@ -98,10 +103,15 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, st
     named = named.withColumn("host", host).withColumn("path", path)
     decide = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else None
     named = named.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("told", decide[F.col("rule")] if rules else F.lit(None).cast("string"))
-    teach = named.filter("told IS NOT NULL").select("url", "host", "path", (F.col("told") == "block").cast("double").alias("label"))
+    columns = ("url", "host", "path", "label", "weight")
+    decided = named.filter("told IS NOT NULL").withColumn("label", (F.col("told") == "block").cast("double")).withColumn("weight", F.lit(1.0))
     if labels is not None:
         more_host, more_path = split_url(F.col("url"))
-        teach = teach.unionByName(labels.select(F.col(url).alias("url"), F.col("label").cast("double")).withColumn("host", more_host).withColumn("path", more_path))
+        other = labels.select(F.col(url).alias("url"), F.col("label").cast("double")).withColumn("host", more_host).withColumn("path", more_path).withColumn("weight", F.lit(1.0))
+    else:
+        seeded = F.col("host").rlike("(^|[.-])(" + "|".join(SEED_WORDS) + ")([.-]|$)")
+        other = named.filter("told IS NULL").withColumn("label", seeded.cast("double")).withColumn("weight", F.when(seeded, 1.0).otherwise(UNLABELLED_WEIGHT))
+    teach = decided.select(*columns).unionByName(other.select(*columns))
     teach = s.keep(teach.orderBy(F.xxhash64("url"), "url", "label").limit(most), "teach")
     kinds = {r.label: r.n for r in teach.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, features = lexical(named)
@@ -122,8 +132,8 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, st
 
     features = [*features, *[f"f_{level}_{k}" for level in tables for k in unseen]]
     vector = VectorAssembler(inputCols=features, outputCol="features")
-    training = s.keep(with_suffixes(taught).select("label", *features), "training")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, featuresCol="features", labelCol="label").fit(vector.transform(training))
+    training = s.keep(with_suffixes(taught).select("label", "weight", *features), "training")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, featuresCol="features", labelCol="label", weightCol="weight").fit(vector.transform(training))
     judged = model.transform(vector.transform(with_suffixes(rows)))
     p = vector_to_array("probability")[1]
     return judged.select(*out, F.coalesce("told", F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), F.when(F.col("told").isNull(), p).alias("probability"))
