@@ -6,8 +6,10 @@ further level splits the groups that are left by the next, four times longer run
 the recursion when it holds a single row, or when its text has ended: all rows of a group have the same
 length, so they end together. No digest decides anything; ``text_sha256`` is only a column of the result.
 
-Each level is one aggregation by (group, digit), which adds up copies before the shuffle, and one
-sort-merge join back to the rows, whose large partitions Spark's adaptive skew join splits. Rows that
+Each level is one aggregation by (group, digit), which adds up copies before the shuffle, and one join of
+the groups that are left back to the rows. The groups are a written table: while they are small (rows
+times the digit's width, checked) they are broadcast, so a hot group's rows don't move at all; beyond,
+both sides are shuffled for the join alone, and Spark's adaptive skew join splits a hot group. Rows that
 leave carry no text further. Levels are written tables in the shared scratch folder.
 
 Defined cases: null and empty texts are equal (nothing is left of them), and so are texts of white space
@@ -48,8 +50,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
     rows = s.keep(rows.withColumn("head", F.when(F.col("shared"), F.col("head"))).withColumn("uid", F.monotonically_increasing_id()), "rows")
 
     live = rows.filter("shared").select("uid", "doc_id", "points", "size", "head", "rest")
-    first = live.groupBy("size", "head").agg(F.min("uid").alias("gid"))
-    live = live.join(first, ["size", "head"]).select("uid", "doc_id", "points", "size", "gid", F.expr(f"substring(rest, {FIRST_DIGIT} + 1)").alias("rest"))
+    first = s.keep(live.groupBy("size", "head").agg(F.min("uid").alias("gid")), "first")
+    live = live.join(broadcast_if_small(first, shared_n, 160), ["size", "head"]).select("uid", "doc_id", "points", "size", "gid", F.expr(f"substring(rest, {FIRST_DIGIT} + 1)").alias("rest"))
     start, width, ended = FIRST_DIGIT, FIRST_DIGIT * GROWTH, []
     while shared_n:
         live = s.keep(live, "live")
@@ -60,7 +62,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
             break
         keyed = going.withColumn("digit", _digit(0, width))
         splits = keyed.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("next")).filter("n > 1")
-        live = keyed.join(splits.select("gid", "digit", "next"), ["gid", "digit"])
+        splits = s.keep(splits.select("gid", "digit", "next"), "splits")
+        live = keyed.join(broadcast_if_small(splits, splits.count(), 96 + width), ["gid", "digit"])
         live = live.select("uid", "doc_id", "points", "size", F.col("next").alias("gid"), F.expr(f"substring(rest, {width} + 1)").alias("rest"))
         start, width = start + width, width * GROWTH
     names = [F.col(f"c_{c}").alias(c) for c in carry]
@@ -72,7 +75,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
         members = members.unionByName(x)
     best = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("uid").alias("u"))
     groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("b")).filter("n > 1")
-    told = members.select("uid", "gid").join(groups.select("gid", "n", F.col("b.d").alias("keep"), F.col("b.u").alias("first")), "gid").select("uid", "n", "keep", "first")
+    groups = s.keep(groups.select("gid", "n", F.col("b.d").alias("keep"), F.col("b.u").alias("first")), "groups")
+    told = members.select("uid", "gid").join(broadcast_if_small(groups, groups.count(), 96), "gid").select("uid", "n", "keep", "first")
     told = s.keep(told, "told")
     told_n = told.count()
     told = broadcast_if_small(told, told_n, 64)
