@@ -235,7 +235,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     for turn in range(1, MAX_ROUNDS if wanted_n else 1):
         named_buckets = buckets.filter("n > 2").join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
         mixed = named_buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("lo < hi")
-        open_rows = named_buckets.join(mixed.select("key", "hub"), "key")
+        mixed = s.keep(mixed.select("key", "hub"), "mixed")
+        open_rows = named_buckets.join(broadcast_if_small(mixed, mixed.count(), 64), "key")
         by_hub = open_rows.filter(f"n > {SMALL_BUCKET} AND label <> hub.label").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
         if turn == 1:
             small = open_rows.filter(f"n <= {SMALL_BUCKET}")
@@ -256,7 +257,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     size = told.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     of = s.keep(of.join(size, "digest"), "of")
     name = of.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
-    named_nodes = s.keep(of.join(name, "label").select("digest", "class_id", "class_size"), "named")
+    name = s.keep(name, "names")
+    named_nodes = s.keep(of.join(broadcast_if_small(name, name.count(), 64), "label").select("digest", "class_id", "class_size"), "named")
     named_n = named_nodes.count()
     # of repeated rows of the smallest doc_id, one stays
     member = rows.select("uid", "doc_id", "digest").join(broadcast_if_small(named_nodes, named_n, 96).withColumnRenamed("digest", "of_digest"), F.col("digest") == F.col("of_digest"), "left")
