@@ -87,29 +87,29 @@ def line_fails(line: Column, r: Rules = Rules()) -> Column:
         .when(F.regexp_like(line, menu), F.lit("navigation"))
         .when(F.regexp_like(line, stock), F.lit("boilerplate"))
         .when(symbols > chars * r.symbol_share, F.lit("punctuation"))
-        .when(shouts > n_words * r.shout_share, F.lit("punctuation"))
-        .when((n_words >= r.unclosed_words) & ~line.rlike(CLOSING), F.lit("punctuation"))
+        # words are counted last: most lines are decided without
+        .when((shouts > 0) & (shouts > n_words * r.shout_share), F.lit("punctuation"))
+        .when(~line.rlike(CLOSING) & (n_words >= r.unclosed_words), F.lit("punctuation"))
     )
 
 
 def line_verdicts(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Add cleaned_text, kept_chars, lost_chars (long) and the count of lines that failed each rule."""
+    """Add cleaned_text, lost_chars (long) and the count of lines that failed each rule."""
     judged = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.struct(x.alias("line"), line_fails(x, rules).alias("rule")))
     df = once(df, __j=judged)
     fails = lambda rule: F.size(F.filter("__j", lambda x: x["rule"] == rule)).cast("long")
-    chars = lambda which: F.aggregate(F.filter("__j", which), F.lit(0).cast("long"), lambda a, x: a + F.length(F.translate(x["line"], SPACES, "")))
+    lost = F.aggregate(F.filter("__j", lambda x: x["rule"].isNotNull()), F.lit(0).cast("long"), lambda a, x: a + F.length(F.translate(x["line"], SPACES, "")))
     return df.select(
         *[F.col(c) for c in df.columns if c != "__j"],
         F.array_join(F.transform(F.filter("__j", lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n").alias("cleaned_text"),
-        chars(lambda x: x["rule"].isNull()).alias("kept_chars"),
-        chars(lambda x: x["rule"].isNotNull()).alias("lost_chars"),
+        lost.alias("lost_chars"),
         *[fails(k).alias(f"{k}_lines") for k in ("punctuation", "navigation", "boilerplate")],
     )
 
 
 def judge(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Add all counts, cleaned_text, base_failed and kept to every row of ``df``; nothing is dropped."""
-    df = line_verdicts(base_counts(df, text), text, rules)
+    df = line_verdicts(base_counts(df, text), text, rules).withColumn("kept_chars", F.col("word_chars") - F.col("lost_chars"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
     little = F.col("lost_chars") <= rules.max_lost * (F.col("lost_chars") + F.col("kept_chars"))
