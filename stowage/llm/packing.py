@@ -50,7 +50,7 @@ LAST_OPEN = 3
 #: Words whose ids a worker remembers; beyond, it starts anew.
 CACHE_WORDS, CACHE_IDS = 1 << 19, 1 << 24
 #: Words that are looked up at a time.
-STEP_WORDS = 1 << 18
+STEP_WORDS = 1 << 20
 
 
 class WordTokens:
