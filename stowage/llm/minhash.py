@@ -17,6 +17,12 @@ connected. As long as a bucket then holds several components, more rounds follow
 all pairs that lie in different components, large ones take other hubs, until a round finds nothing new.
 So a bucket of m near copies costs about m comparisons, and no pair is listed twice.
 
+What large buckets still hold in different components is settled by exact prefix filtering. The shingles of
+a text are put in one order, rare ones first. Let r(x) be the weight of a text from its shingle x on, and W its
+whole weight. Of two texts of similarity t, the rarest common shingle x has r(x) >= t W in both, r(x) >= 2t / (1 + t) W
+in the lighter one, and r(x) >= t / (1 + t) (W + W') in both. So pairs that meet in no such shingle are below t, and
+all others are compared.
+
 Defined cases: a text without words (null, empty, blank) is alone in its class. Repeated rows and equal
 texts are in one class. Classes are named by their smallest doc_id (null last), which is the one that
 stays. Other columns are not touched. An empty table gives an empty table.
@@ -46,6 +52,8 @@ DF_BITS = 16
 #: Buckets of up to so many nodes compare all pairs of different components in the second round.
 SMALL_BUCKET = 16
 MAX_ROUNDS = 6
+#: Counters of shingles that put them in order of rarity, and slack for sums of floats in another order.
+ORDER_BITS, SLACK = 20, 1 - 1e-6
 
 
 def _frequencies(batches):
@@ -180,6 +188,66 @@ def _similar(idf, threshold):
     return run
 
 
+def _occurrences(idf):
+    """Texts per hashed shingle, added up over a task."""
+
+    def run(batches):
+        seen = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for a, b in slices(offsets):
+                _, fp, _ = weighted_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf.value)
+                seen += np.bincount((fp & U((1 << ORDER_BITS) - 1)).astype(np.int64), minlength=1 << ORDER_BITS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
+
+    return run
+
+
+def _prefixes(idf, seen, threshold):
+    """The shingles by which a text may meet a similar one: rest is the weight from there on, light whether it may meet a heavier text."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = buffers(batch.column("text"))
+            for a, b in slices(offsets):
+                rows, fp, w = weighted_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], idf.value)
+                order = np.lexsort((fp, seen.value[(fp & U((1 << ORDER_BITS) - 1)).astype(np.int64)], rows))
+                fp, w = fp[order], w[order].astype(np.float64)  # rows are in order already
+                behind = np.append(0.0, np.cumsum(w))
+                cut = np.searchsorted(rows, np.arange(b - a + 1))
+                total = (behind[cut[1:]] - behind[cut[:-1]])[rows]
+                rest = behind[cut[1:]][rows] - behind[:-1]
+                keep = rest >= threshold * total * SLACK
+                light = rest >= 2 * threshold / (1 + threshold) * total * SLACK
+                node = batch.column("node").to_numpy()[a:b][rows]
+                for c in range(0, len(at := np.flatnonzero(keep)), 50_000):
+                    x = at[c : c + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(v[x]) for v in (node, fp.astype(np.int64), rest, total, light)], names=["node", "fp", "rest", "total", "light"])
+
+    return run
+
+
+def unsettled_pairs(s: Scratch, texts: DataFrame, label: DataFrame, idf, threshold: float) -> DataFrame:
+    """All pairs a, b of ``texts`` (node, text) of different ``label`` that prefix filtering does not prove to be below the threshold."""
+    spark = texts.sparkSession
+    seen = np.zeros(1 << ORDER_BITS, np.int32)
+    got = texts.select("text").mapInArrow(_occurrences(idf), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**20 rows at most
+    seen[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
+    prefix = texts.mapInArrow(_prefixes(idf, spark.sparkContext.broadcast(seen), threshold), "node long, fp long, rest double, total double, light boolean")
+    prefix = s.keep(prefix.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "prefixes")
+    # pairs inside the most frequent component of a shingle are never listed
+    met = prefix.groupBy("fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("light").alias("any"), F.mode("label", True).alias("most")).filter("lo < hi AND any")
+    met = s.keep(met.select("fp", "most"), "met")
+    rows = s.keep(prefix.join(broadcast_if_small(met, met.count(), 64), "fp").withColumn("of_most", F.expr("label = most")).drop("most"), "met_rows")
+    a = rows.filter("light").select("fp", *[F.col(c).alias(f"{c}_a") for c in ("node", "rest", "total", "label", "of_most")])
+    b = rows.select("fp", *[F.col(c).alias(f"{c}_b") for c in ("node", "rest", "total", "label", "of_most")])
+    may = f"label_a <> label_b AND total_a <= total_b AND total_a >= {threshold * SLACK} * total_b AND least(rest_a, rest_b) >= {threshold / (1 + threshold) * SLACK} * (total_a + total_b)"
+    pairs = [x.hint("merge").join(y, "fp").filter(may) for x, y in ((a.filter("NOT of_most_a"), b), (a.filter("of_most_a"), b.filter("NOT of_most_b")))]
+    pairs = pairs[0].unionByName(pairs[1]).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return pairs.distinct()
+
+
 def components(s: Scratch, links: DataFrame) -> DataFrame:
     """node, label (its component's smallest node) of all nodes with links, by label passing and pointer jumps."""
     both = s.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
@@ -252,6 +320,17 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
             break
         links = links.union(found)
         label = components(s, links)
+    if wanted_n:
+        crowded = buckets.filter(f"n > {SMALL_BUCKET}").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        mixed = s.keep(crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"), "mixed")
+        left = s.keep(crowded.join(broadcast_if_small(mixed, mixed.count(), 64), "key").select("node").distinct(), "unsettled")
+        left_n = left.count()
+        if left_n:
+            more = unsettled_pairs(s, s.keep(texts.join(broadcast_if_small(left, left_n, 64), "node"), "unsettled_texts"), label, idf, threshold)
+            more = s.keep(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+            found = s.keep(confirmed(more), "links")
+            if not found.isEmpty():
+                label = components(s, links.union(found))
     # names of components: their smallest doc_id
     of = nodes.join(label, "node", "left").select("digest", "first_id", F.coalesce("label", "node").alias("label"))
     size = told.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))

@@ -288,6 +288,33 @@ def test_near_duplicates_against_all_pairs(spark):
         assert all(out[d].class_size == len(members) for d in members)
 
 
+def test_near_duplicates_that_share_a_passage(spark):
+    """2,400 texts of mostly one passage fill the same buckets; planted pairs among them are still linked."""
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"common{i}" for i in range(220))
+    own = lambda n: [f"own{x}" for x in rng.integers(0, 10**12, n)]
+    rows, planted = [], []
+    for i in range(2400):
+        words = own(22)
+        rows.append((i, passage + " " + " ".join(words)))
+        if i % 60 == 0:
+            planted.append((i, 10_000 + i))
+            rows.append((10_000 + i, passage + " " + " ".join(words[:9] + own(13))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf, text = minhash.idf_table(df), dict(rows)
+
+    def similarity(*pair):
+        at, fp, w = minhash.weighted_shingles(*textvec.buffers(pa.array([text[i] for i in pair])), idf)
+        a, b = (dict(zip(fp[at == i].tolist(), w[at == i].tolist())) for i in (0, 1))
+        shared = sum(min(x, b[f]) for f, x in a.items() if f in b)
+        return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+    assert all(0.8 <= similarity(*p) < 0.86 for p in planted) and all(similarity(i, i + 1) < 0.8 for i in range(50))
+    out = {r.doc_id: r for r in minhash.classes(df).collect()}
+    assert [p for p in planted if out[p[1]].class_id != p[0]] == []
+    assert all(r.class_size == (2 if d >= 10_000 or d % 60 == 0 else 1) for d, r in out.items())
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     out = minhash.classes(odd).collect()
     assert len(out) == odd.count()
