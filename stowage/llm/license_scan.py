@@ -9,8 +9,8 @@ at most MAX_NEGATIVES of them. The temperature of its probabilities is fitted on
 kept out. A paragraph whose best probability is below UNKNOWN is of an unknown licence; a family is
 confirmed if the paragraph also holds the greater part of one of its templates.
 
-A paragraph without a marker holds no declaration that a template could confirm, so it is ``none``
-without being scored; all paragraphs with one go through the model, whichever document they are from.
+All paragraphs that hold a word go through the model, whether they hold a marker or not; ``n_candidates`` counts
+them. Markers only choose the negatives.
 
 The result is one row per document: the licence paragraph with the best evidence (confirmed, then
 probable; ties by family and place). Defined cases: null and empty texts have no paragraphs and are
@@ -150,19 +150,17 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     s = Scratch(spark, "licences")
     plain = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(F.split(plain, "\n"), lambda p, i: F.struct(i.alias("no"), p.alias("paragraph")))
-    found = F.when(_marker(plain), F.filter(lines, lambda x: _marker(x["paragraph"]))).otherwise(F.array().cast("array<struct<no:int,paragraph:string>>"))
-    rows = s.keep(docs.select(F.col(doc_id).alias("doc_id"), found.alias("found")).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    found = F.filter(lines, lambda x: F.regexp_like(F.lower(x["paragraph"]), F.lit("[a-z0-9]")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), found.alias("found")).withColumn("uid", F.monotonically_increasing_id())
     # the first lines of documents without a marker, in an order by hash
     plain_lines = docs.filter(~_marker(plain)).select(F.get(F.split(plain, "\n"), F.lit(0)).alias("paragraph")).filter("length(paragraph) > 0")
     negatives = s.keep(plain_lines.withColumn("h", F.xxhash64("paragraph")).orderBy("h", "paragraph").limit(MAX_NEGATIVES).select("paragraph"), "negatives")
     scanner = Scanner(spark, negatives)
-    candidates = rows.filter("size(found) > 0").select("uid", F.inline("found"))
-    judged = scanner.verdicts(candidates).filter("status <> 'none'")
+    judged = scanner.verdicts(rows.select("uid", "doc_id", F.size("found").alias("n_candidates"), F.inline_outer("found")))
     order = F.struct(F.when(F.col("status") == "confirmed", 0).otherwise(1).alias("a"), (-F.col("probability")).alias("b"), F.col("family").alias("c"), F.col("no").alias("d"))
-    best = judged.groupBy("uid").agg(F.min(F.struct(order.alias("o"), "family", "status", "probability", "similarity", "no")).alias("b"))
-    best = s.keep(best.select(F.col("uid").alias("of"), "b.family", "b.status", "b.probability", "b.similarity", F.col("b.no").alias("paragraph_no")), "best")
-    out = rows.select("uid", "doc_id", F.size("found").alias("n_candidates")).join(best, F.col("uid") == F.col("of"), "left")
-    return out.select("doc_id", F.coalesce("family", F.lit("none")).alias("family"), F.coalesce("status", F.lit("none")).alias("status"), "probability", "similarity", "paragraph_no", "n_candidates")
+    told = F.when(F.col("no").isNotNull() & (F.col("status") != "none"), F.struct(order.alias("o"), "family", "status", "probability", "similarity", "no"))
+    best = judged.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_candidates").alias("n_candidates"), F.min(told).alias("b"))
+    return best.select("doc_id", F.coalesce("b.family", F.lit("none")).alias("family"), F.coalesce("b.status", F.lit("none")).alias("status"), "b.probability", "b.similarity", F.col("b.no").alias("paragraph_no"), "n_candidates")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -472,3 +472,14 @@ def test_licences(spark, odd, empty):
     got = license_scan.scan(odd).collect()
     assert len(got) == odd.count() and [r.family for r in got if r.doc_id == 8] == ["apache"]
     assert license_scan.scan(empty).count() == 0
+
+
+def test_licences_without_a_marker(spark):
+    filler = "Something else is said in this line."
+    said = ["Released under GPLv3.", "This code is GPLv2+ only.", "Available under LGPLv2.1 or later.", "AGPLv3+ applies to this file.", "Released under MIT.", "Dedicated to the public domain.", "This is free and unencumbered software released into the public domain.", "Distributed under the EUPL."]
+    rows = [(i, f"{filler}\n{t}") for i, t in enumerate(said)] + [(100 + i, f"{filler} {i}\nmore") for i in range(60)]
+    out = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_candidates == 2 for r in out.values())
+    assert all(r.status == "none" for d, r in out.items() if d >= 100)
+    # the others are scored too; the model takes them for none, as the templates hold no such word
+    assert {"Released under MIT.", "This is free and unencumbered software released into the public domain."} <= {t for i, t in enumerate(said) if out[i].status != "none"}
