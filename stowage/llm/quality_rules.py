@@ -83,7 +83,7 @@ def line_fails(line: Column, r: Rules = Rules()) -> Column:
     pieces = F.regexp_count(line, F.lit(SEPARATORS)) + 1
     menu, stock = (F.lit(x) for x in _patterns())
     return (
-        F.when(pieces >= r.menu_pieces, F.when(pieces * 6 >= n_words, F.lit("navigation")))
+        F.when((pieces >= r.menu_pieces) & (pieces * 6 >= n_words), F.lit("navigation"))
         .when(F.regexp_like(line, menu), F.lit("navigation"))
         .when(F.regexp_like(line, stock), F.lit("boilerplate"))
         .when(symbols > chars * r.symbol_share, F.lit("punctuation"))

@@ -174,6 +174,14 @@ def test_lines_that_fail_go(spark):
     assert not r[1].kept
 
 
+def test_long_pieces_fall_through(spark):
+    """A line with separators that is no menu is judged by the other rules."""
+    long = " ".join(["word"] * 11)
+    lines = [f"{long} all rights reserved. | {long} privacy policy | {long} powered by us.", f"{long} | {long} > {long} and no mark", f"{long} | {long} > {long} and a mark."]
+    fails = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", quality_rules.line_fails(F.col("line")).alias("rule"))
+    assert [r.rule for r in fails.orderBy("i").collect()] == ["boilerplate", "punctuation", None]
+
+
 # 3 sharding
 
 
