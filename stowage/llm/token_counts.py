@@ -141,13 +141,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     of = lambda version: counts.filter(F.col("version") == version)
     toxic, low = (labels.filter(c).select("doc_id").distinct() for c in ("toxic = 1", "quality = 0"))
     rollup = Rollup(spark, f"{s.dir}/rollup")
-    left = of("words-1").select("doc_id").join(toxic, "doc_id", "left_anti")
     for _ in range(2):
         rollup.commit("1-load", inserts=of("words-1"))
         rollup.commit("2-withdraw", deletes=toxic.withColumn("version", F.lit("words-1")))
         revised = of("revised").withColumn("version", F.lit("words-1")).join(low, "doc_id", "left_semi").join(toxic, "doc_id", "left_anti")
         rollup.commit("3-revise", revisions=revised)
-        rollup.commit("4-words-2", inserts=of("words-2").join(left.distinct(), "doc_id", "left_semi"))
+        rollup.commit("4-words-2", inserts=of("words-2").join(toxic, "doc_id", "left_anti"))
     return rollup.totals()
 
 

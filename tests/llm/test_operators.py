@@ -139,6 +139,18 @@ def test_counts_of_odd_rows(odd, empty):
     assert token_counts.counted(empty).count() == 0
 
 
+def test_null_ids_count_under_all_versions(spark, tmp_path):
+    import duckdb
+
+    docs = spark.createDataFrame([(1, "a b", "en", "x"), (None, "c d e", "en", "x"), (None, "f", "en", "x"), (2, "g h", "en", "x")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 1), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert compare.differences(token_counts.query(spark, str(tmp_path)), con, token_counts.ORACLE) == ""
+
+
 # 2 quality rules
 
 
