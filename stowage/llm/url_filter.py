@@ -3,9 +3,10 @@
 Features are expressions over the url alone: lengths of url, host and path, depth, share of digits and of
 other marks, entropy of the characters, counts of parameters, labels and hyphens, a fragment; and, for the
 host's last label and last two labels, how often the suffix is blocked among the labelled urls (smoothed)
-and how common it is there. Trees are Spark ML's, trained from labelled urls: those that a rule decides
+and how common it is there, counted over all of them outside the url's own fold (one of FOLDS by
+hash), so that its label is left out and doesn't show in the difference. Trees are Spark ML's, trained from labelled urls: those that a rule decides
 (or a table of labels that the caller has), at most MAX_TRAINING of them, those first in an order by hash.
-The model and the suffix table are bounded by that number. Where the caller has no labels, this is learning from
+The model is bounded by that number, the suffix tables are not. Where the caller has no labels, this is learning from
 positive and unlabelled urls: those that a rule blocks, or whose host holds a word of SEED_WORDS, are blocked;
 those that a rule allows are allowed, and the undecided ones in the sample count as allowed at half weight.
 
@@ -25,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import Scratch, table
+from stowage.llm.common import Scratch, broadcast_if_small, table
 
 #: Host and path of the rules.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -33,6 +34,7 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 SEED_WORDS = ("casino", "cheap", "pills", "spam", "viagra", "poker", "porn", "xxx", "payday", "replica", "warez", "lottery")
 MAX_TRAINING = 5_000
 UNLABELLED_WEIGHT = 0.5
+FOLDS = 5
 TREES, DEPTH, SMOOTH = 20, 4, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -83,13 +85,22 @@ def lexical(df: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_fragment": url.contains("#").cast("double"),
         "f_slash_end": F.col("path").endswith("/").cast("double"),
     }
-    return df.select("*", *[c.alias(k) for k, c in made.items()], F.regexp_extract("host", r"([^.]*)$", 1).alias("s1"), F.regexp_extract("host", r"([^.]*(?:\.[^.]*)?)$", 1).alias("s2")), list(made)
+    return suffixes(df.select("*", *[c.alias(k) for k, c in made.items()])), list(made)
 
 
-def suffix_statistics(labelled: DataFrame, level: str, base: float) -> DataFrame:
-    """Share of blocked urls (smoothed towards ``base``) and logarithm of all, by suffix, among the labelled."""
-    g = labelled.groupBy(level).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
-    return g.select(F.col(level).alias(f"of_{level}"), ((F.col("b") + SMOOTH * base) / (F.col("n") + SMOOTH)).alias(f"f_{level}_rate"), F.log1p("n").alias(f"f_{level}_count"))
+def suffixes(df: DataFrame) -> DataFrame:
+    """Add the host's last label and last two labels."""
+    return df.select("*", F.regexp_extract("host", r"([^.]*)$", 1).alias("s1"), F.regexp_extract("host", r"([^.]*(?:\.[^.]*)?)$", 1).alias("s2"))
+
+
+def fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(labelled: DataFrame, level: str) -> DataFrame:
+    """Blocked urls and all, by suffix (null fold) and by suffix and fold, among the labelled."""
+    parts = labelled.groupBy(level, fold().alias("fold")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    return parts.rollup(level, "fold").agg(F.sum("b").alias("b"), F.sum("n").alias("n"), F.grouping_id().alias("g")).filter("g < 3").select(F.col(level).alias("of"), "fold", "b", "n")
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, str] = RULES, key: str = "page_id", url: str = "url", most: int = MAX_TRAINING) -> DataFrame:
@@ -112,6 +123,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, st
         seeded = F.col("host").rlike("(^|[.-])(" + "|".join(SEED_WORDS) + ")([.-]|$)")
         other = named.filter("told IS NULL").withColumn("label", seeded.cast("double")).withColumn("weight", F.when(seeded, 1.0).otherwise(UNLABELLED_WEIGHT))
     teach = decided.select(*columns).unionByName(other.select(*columns))
+    everything = suffixes(teach.select("url", "host", "label"))
     teach = s.keep(teach.orderBy(F.xxhash64("url"), "url", "label").limit(most), "teach")
     kinds = {r.label: r.n for r in teach.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, features = lexical(named)
@@ -119,22 +131,29 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, st
     if len(kinds) < 2:
         only = "block" if kinds.get(1.0) else "allow"
         return named.select(*out, F.coalesce("told", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("probability"))
-    base = kinds[1.0] / sum(kinds.values())
     taught, _ = lexical(teach)
-    # at most ``most`` suffixes, so they may be broadcast
-    tables = {level: s.keep(suffix_statistics(taught, level, base), level) for level in ("s1", "s2")}
-    unseen = {"rate": base, "count": 0.0}
+    tables = {level: s.keep(suffix_statistics(everything, level), level) for level in ("s1", "s2")}
+    whole = tables["s1"].filter("fold IS NULL").agg(F.sum("b").alias("b"), F.sum("n").alias("n")).first()
+    base, sizes = whole.b / whole.n, {level: t.count() for level, t in tables.items()}
 
-    def with_suffixes(df: DataFrame) -> DataFrame:
+    def with_suffixes(df: DataFrame, told: Column) -> DataFrame:
+        """``told``: whether the row itself stands in the tables; its fold is then left out."""
+        df = df.withColumn("fold_of", F.when(told, fold()))
         for level, t in tables.items():
-            df = df.join(F.broadcast(t), F.col(level) == F.col(f"of_{level}"), "left").fillna({f"f_{level}_{k}": v for k, v in unseen.items()})
+            whole = t.filter("fold IS NULL").select(F.col("of").alias(f"of_{level}"), F.col("b").alias(f"b_{level}"), F.col("n").alias(f"n_{level}"))
+            part = t.filter("fold IS NOT NULL").select(F.col("of").alias(f"in_{level}"), F.col("fold").alias(f"fold_{level}"), F.col("b").alias(f"c_{level}"), F.col("n").alias(f"m_{level}"))
+            df = df.join(broadcast_if_small(whole, sizes[level], 128), F.col(level) == F.col(f"of_{level}"), "left")
+            df = df.join(broadcast_if_small(part, sizes[level], 128), (F.col(level) == F.col(f"in_{level}")) & (F.col("fold_of") == F.col(f"fold_{level}")), "left")
+            b = F.coalesce(f"b_{level}", F.lit(0.0)) - F.coalesce(f"c_{level}", F.lit(0.0))
+            n = F.coalesce(f"n_{level}", F.lit(0)) - F.coalesce(f"m_{level}", F.lit(0))
+            df = df.withColumn(f"f_{level}_rate", (b + SMOOTH * base) / (n + SMOOTH)).withColumn(f"f_{level}_count", F.log1p(n.cast("double")))
         return df
 
-    features = [*features, *[f"f_{level}_{k}" for level in tables for k in unseen]]
+    features = [*features, *[f"f_{level}_{k}" for level in tables for k in ("rate", "count")]]
     vector = VectorAssembler(inputCols=features, outputCol="features")
-    training = s.keep(with_suffixes(taught).select("label", "weight", *features), "training")
+    training = s.keep(with_suffixes(taught, F.lit(True)).select("label", "weight", *features), "training")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, featuresCol="features", labelCol="label", weightCol="weight").fit(vector.transform(training))
-    judged = model.transform(vector.transform(with_suffixes(rows)))
+    judged = model.transform(vector.transform(with_suffixes(rows, F.lit(labels is None) & F.col("told").isNull())))
     p = vector_to_array("probability")[1]
     return judged.select(*out, F.coalesce("told", F.when(p >= 0.5, "block").otherwise("allow")).alias("verdict"), F.when(F.col("told").isNull(), p).alias("probability"))
 

@@ -386,6 +386,15 @@ def test_url_trees_learn_from_labels(spark):
     assert sum(out[i] == ("block" if i < 100 else "allow") for i in range(200)) >= 196
 
 
+def test_suffixes_are_counted_over_all_urls(spark):
+    """Labels of 2,000 domains tell their other urls apart, though the trees learn from 300 rows."""
+    host = lambda i: f"d{1000 + i}.biz"
+    labels = spark.createDataFrame([(f"http://{host(i)}/{k}/page", float(i % 2)) for i in range(2000) for k in range(3)], "url string, label double")
+    rows = spark.createDataFrame([(i, f"http://{host(i)}/7/page") for i in range(2000)], "page_id long, url string")
+    out = {r.page_id: r.verdict for r in url_filter.judge(rows, labels, most=300).collect()}
+    assert sum(out[i] == ("block" if i % 2 else "allow") for i in out) >= 1900
+
+
 # 7 packing
 
 
