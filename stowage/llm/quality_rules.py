@@ -11,9 +11,10 @@ that loses too much of its text with them is rejected.
 Before that, a base check of the whole text drops documents that are too short or repeat themselves.
 
 Defined cases: a null text has no words, no lines, and fails the base check; so does an empty one. Texts
-of any length take ``n log n`` time in their own words. Other columns pass through ``clean`` untouched,
-whatever their names; working columns start with ``__``. Repeated rows are judged one by one. An empty
-table gives an empty table.
+of any length take ``n log n`` time in their own words, and so do lines: no pattern repeats a group. Other
+columns pass through ``judge`` and ``clean`` untouched, whatever their names, but for those that are named like
+an added one, which the added one replaces. Repeated rows are judged one by one. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -23,15 +24,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import SPACES, once, table, words
+from stowage.llm.common import SPACES, column, once, table, words
 
 #: The counted symbols, the separators of menus, closing marks, menu words, stock phrases.
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = r"[|»›·•>]"
 CLOSING = r"[.!?…。！？]"
-EDGE = "[^A-Za-z0-9]"
-MENU_WORDS = ("home", "about", "about us", "contact", "contact us", "login", "log in", "sign in", "sign up", "register", "menu", "search", "next", "previous", "back", "top", "share", "tweet", "print", "help", "faq", "sitemap", "news", "blog", "archive", "categories", "tags", "comments", "reply", "read more", "more", "skip to content")
-STOCK_PHRASES = ("cookie policy", "use of cookies", "uses cookies", "privacy policy", "terms of use", "terms of service", "terms and conditions", "all rights reserved", "enable javascript", "requires javascript", "subscribe to our newsletter", "sign up for our newsletter", "click here", "follow us on", "share this", "powered by", "lorem ipsum", "page not found", "back to top")
+EDGE = r"[^\p{L}\p{N}]"
+MENU_WORDS = (
+    "home about contact login register menu search next previous back top share tweet print help faq sitemap news blog archive categories tags comments reply more about_us contact_us log_in sign_in sign_up read_more skip_to_content "
+    "startseite kontakt impressum anmelden registrieren suche weiter zurück teilen drucken hilfe übersicht archiv kategorien kommentare antworten mehr über_uns nach_oben mehr_lesen "
+    "accueil connexion inscription recherche suivant précédent retour partager imprimer aide actualités catégories commentaires répondre plus à_propos lire_la_suite plan_du_site "
+    "inicio contacto acceder registrarse buscar siguiente anterior volver compartir imprimir ayuda noticias archivo categorías etiquetas comentarios responder más sobre_nosotros leer_más mapa_del_sitio"
+).split()
+STOCK_PHRASES = (
+    *("cookie policy", "use of cookies", "uses cookies", "privacy policy", "terms of use", "terms of service", "terms and conditions", "all rights reserved", "enable javascript", "requires javascript", "subscribe to our newsletter", "sign up for our newsletter", "click here", "follow us on", "share this", "powered by", "lorem ipsum", "page not found", "back to top"),
+    *("verwendet cookies", "verwendung von cookies", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen", "alle rechte vorbehalten", "newsletter abonnieren", "hier klicken", "seite nicht gefunden"),
+    *("utilise des cookies", "politique de confidentialité", "conditions d'utilisation", "conditions générales", "mentions légales", "tous droits réservés", "abonnez-vous à notre newsletter", "cliquez ici", "page introuvable"),
+    *("utiliza cookies", "política de privacidad", "política de cookies", "términos y condiciones", "aviso legal", "todos los derechos reservados", "suscríbete a nuestro boletín", "haz clic aquí", "página no encontrada"),
+)
 
 
 @dataclass(frozen=True)
@@ -69,9 +80,20 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _patterns() -> tuple[str, str]:
-    menu = "(" + "|".join(MENU_WORDS) + ")"
-    return f"(?i)^{EDGE}*{menu}({EDGE}+{menu})*{EDGE}*\\z", f"(?i)(^|{EDGE})(" + "|".join(STOCK_PHRASES) + f")({EDGE}|\\z)"
+def _longest_first(items: tuple[str, ...] | list[str]) -> str:
+    """Alternatives of a pattern, longer ones first."""
+    return "|".join(sorted({x.replace("_", " ") for x in items}, key=lambda x: (-len(x), x)))
+
+
+def is_menu(line: Column) -> Column:
+    """Whether a line is menu words and marks alone.
+
+    Most lines are told by their first word. Of the others, words are set one blank apart, and all menu items are
+    taken out, the longest first: no part of an item of several words that begins one is an item that leaves its rest an item.
+    """
+    begins = F.regexp_like(line, F.lit(f"(?iu)^{EDGE}*(?:{_longest_first(MENU_WORDS)})(?:{EDGE}|\\z)"))
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(line), f"{EDGE}+", " ")), F.lit(" "))
+    return begins & (F.trim(F.regexp_replace(plain, f" (?:{_longest_first(MENU_WORDS)})(?= )", "")) == "")
 
 
 def line_fails(line: Column, r: Rules = Rules()) -> Column:
@@ -81,10 +103,10 @@ def line_fails(line: Column, r: Rules = Rules()) -> Column:
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>]"))
     shouts = F.regexp_count(line, F.lit(r"!!([\x20\x09-\x0D]|\z)"))
     pieces = F.regexp_count(line, F.lit(SEPARATORS)) + 1
-    menu, stock = (F.lit(x) for x in _patterns())
+    stock = F.lit(f"(?iu)(?:^|{EDGE})(?:{_longest_first(STOCK_PHRASES)})(?:{EDGE}|\\z)")
     return (
         F.when((pieces >= r.menu_pieces) & (pieces * 6 >= n_words), F.lit("navigation"))
-        .when(F.regexp_like(line, menu), F.lit("navigation"))
+        .when(is_menu(line), F.lit("navigation"))
         .when(F.regexp_like(line, stock), F.lit("boilerplate"))
         .when(symbols > chars * r.symbol_share, F.lit("punctuation"))
         # words are counted last: most lines are decided without
@@ -107,13 +129,18 @@ def line_verdicts(df: DataFrame, text: str = "text", rules: Rules = Rules()) ->
     )
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "cleaned_text", "lost_chars", "punctuation_lines", "navigation_lines", "boilerplate_lines", "kept_chars", "base_failed", "kept")
+
+
 def judge(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Add all counts, cleaned_text, base_failed and kept to every row of ``df``; nothing is dropped."""
-    df = line_verdicts(base_counts(df, text), text, rules).withColumn("kept_chars", F.col("word_chars") - F.col("lost_chars"))
+    whole = df.select(F.struct(*[column(c) for c in df.columns]).alias("row"), column(text).alias("text"))
+    whole = line_verdicts(base_counts(whole), rules=rules).withColumn("kept_chars", F.col("word_chars") - F.col("lost_chars"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
+    whole = whole.withColumn("base_failed", failed)
     little = F.col("lost_chars") <= rules.max_lost * (F.col("lost_chars") + F.col("kept_chars"))
-    return df.withColumn("kept", ~F.col("base_failed") & little)
+    whole = whole.withColumn("kept", ~F.col("base_failed") & little)
+    return whole.select(*[F.col("row")[c].alias(c) for c in df.columns if c.lower() not in ADDED], *ADDED)
 
 
 def clean(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -121,12 +148,12 @@ def clean(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFram
 
     ``n_chars``, where there is such a column, counts the code points of the cleaned text.
     """
-    kept = judge(df.select("*", F.struct(*[F.col(c) for c in df.columns]).alias("__row")).select("__row", F.col(text).alias("__text")), "__text", rules).filter("kept")
-    out = {c: F.col("__row")[c].alias(c) for c in df.columns}
+    whole = df.select(F.struct(*[column(c) for c in df.columns]).alias("row"), column(text).alias("text"))
+    out = {c: F.col("row")[c].alias(c) for c in df.columns}
     out[text] = F.col("cleaned_text").alias(text)
     if "n_chars" in out and text != "n_chars":
         out["n_chars"] = F.length("cleaned_text").cast(df.schema["n_chars"].dataType).alias("n_chars")
-    return kept.select(*out.values())
+    return judge(whole, rules=rules).filter("kept").select(*out.values())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -137,8 +164,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def oracle(rules: Rules = Rules()) -> str:
     """The same rows in DuckDB's SQL, written from the contract and not from the expressions above."""
-    menu, stock = _patterns()
     space, quoted = r"[\x20\x09-\x0D]", CLOSING
+    menu = f"(?i)^{EDGE}*({'|'.join(MENU_WORDS)})({EDGE}+({'|'.join(MENU_WORDS)}))*{EDGE}*$".replace("_", f"{EDGE}+")
+    stock = f"(?i)(^|{EDGE})({'|'.join(STOCK_PHRASES)})({EDGE}|$)".replace("'", "''")
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '{space}+'), lambda x: x <> '') AS w FROM d),
@@ -150,7 +178,7 @@ u AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS
     len(regexp_extract_all(line, '[#*$%&|<>]')) AS ns, len(regexp_extract_all(line, '!!({space}|\z)')) AS nb,
     len(regexp_extract_all(line, '{SEPARATORS}')) + 1 AS np, length(regexp_replace(line, '{space}', '', 'g')) AS chars FROM l),
 v AS (SELECT doc_id, line, nw, chars, CASE
-    WHEN np >= {rules.menu_pieces} THEN CASE WHEN np * 6 >= nw THEN 'navigation' END
+    WHEN np >= {rules.menu_pieces} AND np * 6 >= nw THEN 'navigation'
     WHEN regexp_matches(line, '{menu}') THEN 'navigation'
     WHEN regexp_matches(line, '{stock}') THEN 'boilerplate'
     WHEN ns > length(line) * {rules.symbol_share} THEN 'punctuation'
