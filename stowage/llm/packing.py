@@ -2,14 +2,14 @@
 
 Documents become token ids, end with id 1, and are cut into pieces of at most 4096 tokens. The histogram
 of piece lengths has at most 4096 bars whatever the corpus holds, so the program is solved on the driver:
-its variables are configurations (multisets of length classes that fit into one sequence), its
-constraints the bars. Multiplicative weights keep a price per class that falls as the class is covered;
-each round, a knapsack by dynamic programming finds the configuration of the highest price, and the
-solution takes a step along it. The prices also give a lower bound on the number of sequences. The
-solution is rounded down, and what is left, a number of pieces that depends on the number of
-configurations and not on the corpus, is packed best-fit, the longest first. A class is a run of four
-neighbouring lengths and counts as the longest, so every rounding fits; bins are refilled best-fit with the
-shortest pieces, which use the slack.
+its variables are configurations (multisets of lengths that fit into one sequence), its constraints the
+bars. Multiplicative weights keep prices that fall as the pieces are covered, bar by bar (a bar is a run of
+lengths that holds one of BARS equal parts of the tokens); a knapsack by dynamic programming over exact
+lengths finds configurations of the highest price, and the solution takes a step along each. Steps are
+whole numbers of sequences, so the solution is rounded as it grows. When all but REST of the pieces are
+covered, the rest is packed best-fit, the longest first, into what the configurations leave and into new
+sequences. Prices, divided by what the best filling is worth, solve the dual program: ``plan`` returns the
+best such lower bound on the number of sequences, and the share of the pieces that configurations place.
 
 Placing the pieces is distributed: a piece's rank in its length (hash buckets plus offsets, no task per
 length) falls into one interval of the plan, which names its sequence; offsets are running sums inside
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stowage.llm import textvec
-from stowage.llm.common import Scratch, bucket_count, ranked, table
+from stowage.llm.common import Scratch, bucket_count, column, ranked, table
 from stowage.llm.textvec import FOLD, buffers, slices, word_hashes
 
 for _module in (textvec, sys.modules[__name__]):  # workers then need no copy of the package
@@ -43,10 +43,12 @@ for _module in (textvec, sys.modules[__name__]):  # workers then need no copy of
 
 CAPACITY = 4096
 END = 1
-GRID = 4
-ROUNDS = 2000
-STEP, SHARPNESS = 0.1, 4.0
-LAST_OPEN = 3
+#: Parts of the tokens that share a price; a step covers at most so much of a length; how fast prices fall; prices are whole numbers of 1 / PRICE_UNIT.
+BARS, STEP, SHARPNESS, PRICE_UNIT = 32, 0.5, 4.0, 1 << 16
+#: The lower bound also tries prices of 1 / k for every 1 / (k + 1) of a sequence, for k up to so many.
+STEPPED = 6
+#: Lengths that are priced at a time, fillings that are taken of them, and the share of the pieces that is left to best fit.
+SUBSET, FIRSTS, NEAR, REST = 96, 32, 0.002, 0.05
 #: Words whose ids a worker remembers; beyond, it starts anew.
 CACHE_WORDS, CACHE_IDS = 1 << 19, 1 << 24
 #: Words that are looked up at a time.
@@ -157,62 +159,128 @@ def _pieces(path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all pieces; ``tokenizer`` is a path every worker can open."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
     return named.mapInArrow(_pieces(tokenizer, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _knapsack(price: np.ndarray, room: int) -> np.ndarray:
-    """How often to take each size 1, 2, ... (``price[i]`` is that of size i + 1) for the highest price in ``room``.
-
-    Among equals the largest size is taken, so that short pieces stay free for the gaps of others.
-    """
-    best, last = np.zeros(room + 1), np.zeros(room + 1, np.int64)
+def _rows(sizes: np.ndarray, prices: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[int, int, int]]:
+    """(place, copies, 0 or 1: any number) of the rows of a knapsack in which no size is taken oftener than it is there."""
+    rows = []
+    for i, (s, n) in enumerate(zip(sizes.tolist(), counts.tolist())):
+        fits = room // s
+        if n >= fits:
+            rows.append((i, 1, int(fits > 1)))
+            continue
+        k = 1
+        while n > 0:
+            rows.append((i, min(k, n), 0))
+            n, k = n - k, 2 * k
+    return rows
+
+
+class Knapsack:
+    """Dynamic programming over exact room: what fits best at prices (whole numbers), for every room up to ``room``."""
+
+    def __init__(self, sizes: np.ndarray, prices: np.ndarray, counts: np.ndarray, room: int):
+        self.sizes, self.rows = sizes, _rows(sizes, prices, counts, room)
+        self.best = np.zeros((len(self.rows) + 1, room + 1), np.int64)
+        for r, (i, copies, many) in enumerate(self.rows):
+            s, v, old, new = int(sizes[i]) * copies, int(prices[i]) * copies, self.best[r], self.best[r + 1]
+            if many:  # the best number of copies, for all rooms of the same rest at once
+                turns = -(-(room + 1) // s)
+                wide = np.full(turns * s, -(1 << 62), np.int64)
+                wide[: room + 1] = old
+                gain = v * np.arange(turns)[:, None]
+                wide = np.maximum.accumulate(wide.reshape(turns, s) - gain, axis=0) + gain
+                new[:] = wide.reshape(-1)[: room + 1]
+            else:
+                new[:] = old
+                if s <= room:
+                    np.maximum(old[s:], old[: room + 1 - s] + v, out=new[s:])
+
+    def take(self, room: int) -> dict[int, int]:
+        """Place to copies of the best filling of ``room``."""
+        out: dict[int, int] = {}
+        r = len(self.rows)
+        while r:
+            column = self.best[: r + 1, room]
+            r = int((column == column[-1]).argmax())
+            if r:
+                i, copies, many = self.rows[r - 1]
+                out[i] = out.get(i, 0) + copies
+                room -= int(self.sizes[i]) * copies
+                r -= 1 - many
+        return out
+
+
+def dual_bound(sizes: np.ndarray, counts: np.ndarray, prices: np.ndarray, room: int) -> float:
+    """The worth of all pieces in best fillings of ``room``: fewer sequences can't hold them, whatever the prices are."""
+    price = np.zeros(room, np.int64)
+    price[sizes - 1] = prices
+    best = np.zeros(room + 1, np.int64)
     for c in range(1, room + 1):
-        k = min(c, len(price))
-        v = price[:k] + best[c - k : c][::-1]
-        j = k - 1 - int(v[::-1].argmax())
-        best[c], last[c] = (v[j], j + 1) if v[j] > best[c - 1] else (best[c - 1], 0)
-    take, c = np.zeros(len(price), np.int64), room
-    while c > 0:
-        if last[c]:
-            take[last[c] - 1] += 1
-        c -= max(1, int(last[c]))
-    return take
-
-
-def configurations(count: np.ndarray, room: int, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Configurations, and how often the program uses each (fractions); ``count[i]`` pieces have size i + 1.
-
-    Multiplicative weights for the covering program: the price of a class falls exponentially with the
-    share of its bar that is covered, and is nothing once it is all covered. A step covers at most the
-    share STEP of any bar.
+        best[c] = max(best[c - 1], (price[:c] + best[c - 1 :: -1]).max())
+    return float((prices * counts).sum()) / float(best[room]) if best[room] else 0.0
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray, float]:
+    """Configurations (size to copies) with the whole number of sequences that use each, what they leave of ``counts``, and a lower bound.
+
+    Multiplicative weights for the covering program: the price of a length is its size times a weight that falls
+    exponentially with the share of its bar that is covered, so no bar runs ahead of the others for long. A step along a configuration
+    covers at most the share STEP of any length and is a whole number of sequences, so nothing is lost to rounding. Pricing
+    is partial: the program looks at SUBSET lengths, half of them those that are covered least and half taking
+    turns, and takes fillings, around FIRSTS different lengths, whose worth is within NEAR of the best. At some rounds all lengths are priced: prices divided by the best filling's are
+    a solution of the dual program, so their sum over all pieces is a lower bound.
     """
-    size = np.arange(1, len(count) + 1)
-    covered, found, steps = np.zeros(len(count)), {}, {}
-    some = count > 0
-    bar = np.where(some, count, 1.0)
-    for _ in range(rounds):
-        share = covered / bar
-        open_ = some & (share < 1 - 1e-9)
-        if not open_.any():
+    left, found, done, turn = counts.copy(), [], 0, 0
+    whole, next_bound = int(counts.sum()), 0.0
+    bound = max(dual_bound(sizes, counts, (k + 1) * sizes // (room + 1), room) for k in range(1, STEPPED + 1))
+    tokens = np.cumsum(counts * sizes)
+    bar = np.unique((tokens - 1) * BARS // tokens[-1], return_inverse=True)[1]
+    mixed = np.argsort((sizes * 0x9E3779B1) % (1 << 32))  # neighbours apart, where weights tie
+    place = np.empty(len(sizes), np.int64)
+    place[mixed] = np.arange(len(sizes))
+    while left.sum() > REST * whole:
+        share = 1 - left / counts
+        open_ = np.flatnonzero(left)
+        covered = 1 - np.bincount(bar, left * sizes) / np.bincount(bar, counts * sizes)
+        weight = np.exp(-SHARPNESS * (covered - covered.min()))[bar]
+        price = np.maximum(1, (weight * sizes * PRICE_UNIT).astype(np.int64))
+        if covered.min() >= next_bound:
+            bound, next_bound = max(bound, dual_bound(sizes, counts, price, room)), next_bound + 0.2
+        order = open_[np.lexsort((place[open_], np.floor(share[open_] / (STEP / 2))))]
+        late, others = order[: SUBSET // 2], order[SUBSET // 2 :]
+        others = others[np.argsort(place[others])]
+        some = np.concatenate([late, np.roll(others, -turn * (SUBSET // 2))[: SUBSET // 2]])
+        some = np.sort(some)[::-1]
+        pricing = Knapsack(sizes[some], price[some], left[some], room)
+        before, best = done, int(pricing.best[-1, room])
+        value = pricing.best[-1, room - sizes[some]] + price[some]
+        firsts = np.flatnonzero(value >= (1 - NEAR) * best)
+        for first in firsts[:: -(-len(firsts) // FIRSTS)].tolist():
+            take = pricing.take(room - int(sizes[some[first]]))
+            take[first] = take.get(first, 0) + 1
+            at, copies = some[list(take)], np.array(list(take.values()))
+            x = min(int((left[at] // copies).min()), max(1, int(STEP * (counts[at] / copies).min())))
+            if x:
+                left[at] -= copies * x
+                found.append((dict(zip(sizes[at].tolist(), copies.tolist())), x))
+                done += x
+        turn += 1
+        if done == before:
             break
-        price = np.where(open_, np.exp(-SHARPNESS * (share - share[open_].min())) * size, 0.0)
-        take = _knapsack(price, room)
-        held = take > 0
-        step = float(np.min(np.minimum(STEP * bar[held], (bar - covered)[held]) / take[held]))
-        key = take.tobytes()
-        found[key], steps[key] = take, steps.get(key, 0.0) + step
-        covered[held] += take[held] * step
-    return list(found.values()), np.array(list(steps.values()))
+    return found, left, bound
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID, rounds: int = ROUNDS) -> tuple[pd.DataFrame, int, float]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFrame, int, float, float]:
     """Intervals (length, lo, hi, sequence0, slot): rank r in [lo, hi) of a length goes to sequence0 + r - lo.
 
-    Also the number of sequences and a lower bound of it. A pure function of the histogram.
+    Also the number of sequences, a lower bound of it from the dual program, and the share of the pieces that
+    configurations place. A pure function of the histogram.
     """
-    left = {k: n for k, n in histogram.items() if n > 0}
+    left = {k: n for k, n in sorted(histogram.items()) if n > 0}
     used, sequences, out = dict.fromkeys(left, 0), 0, []
 
     def give(length: int, n: int, seq0: int) -> None:
@@ -220,41 +288,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID,
         used[length] += n
         left[length] -= n
 
+    total, bound = sum(left.values()), 0.0
     if full := left.get(capacity, 0):
         give(capacity, full, 0)
         sequences = full
-    total = sum(k * n for k, n in histogram.items())
-    bound = total / capacity
-    # the shortest pieces stay out of the program: they fill what it leaves
-    whole = sorted(k for k in left if k < capacity)
-    small = [k for k in whole if k < 8 * grid]
-    classes: dict[int, list[int]] = {}
-    for k in whole:
-        if k not in small:
-            classes.setdefault(-(-k // grid), []).append(k)
-    size = np.array(sorted(classes), np.int64)
-    if len(size):
-        count = np.zeros(int(size.max()))
-        count[size - 1] = [sum(left[k] for k in classes[c]) for c in size.tolist()]
-        found, times = configurations(count, capacity // grid, rounds)
-        for take, x in zip(found, times):
-            if take.sum() >= LAST_OPEN:  # its shortest piece is left to the best fit, which uses the true room
-                take = take.copy()
-                take[np.flatnonzero(take)[0]] -= 1
-            held = [(int(j) + 1, int(take[j])) for j in np.flatnonzero(take)]
-            have = min(sum(left[k] for k in classes[c]) // a for c, a in held)
-            x = min(int(x + 1e-9), have)
-            if x <= 0:
-                continue
-            for c, a in held:
-                for _ in range(a):
-                    todo, seq = x, sequences
-                    for k in sorted(classes[c], reverse=True):
-                        n = min(todo, left[k])
-                        if n:
-                            give(k, n, seq)
-                            seq, todo = seq + n, todo - n
+    sizes = np.array([k for k in left if k < capacity], np.int64)
+    if len(sizes):
+        found, _, bound = configurations(sizes, np.array([left[k] for k in sizes.tolist()], np.int64), capacity)
+        for take, x in found:
+            for k, copies in take.items():
+                for _ in range(copies):
+                    give(k, x, sequences)
             sequences += x
+    by_program = 1 - sum(left.values()) / total if total else 1.0
     # room left: as much as all sequences of a run of equal fillings have
     cuts = sorted({s for _, lo, hi, s in out} | {s + hi - lo for _, lo, hi, s in out})
     change = np.zeros(len(cuts) + 1, np.int64)
@@ -268,7 +314,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, grid: int = GRID,
     out, sequences = _fill(rest, spans, sequences, out, used, capacity)
     frame = pd.DataFrame(out, columns=["length", "lo", "hi", "sequence0"])
     frame["slot"] = np.arange(len(frame))
-    return frame, sequences, bound
+    return frame, sequences, full + bound, by_program
 
 
 def _fill(rest, spans, sequences, out, used, capacity):
@@ -302,13 +348,13 @@ def _fill(rest, spans, sequences, out, used, capacity):
     return out, sequences
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to pieces (``pieces``' columns)."""
+def pack(cut: DataFrame, capacity: int = CAPACITY, scratch: Scratch | None = None) -> DataFrame:
+    """Add sequence_id and offset to pieces (``pieces``' columns). The result reads ``scratch``."""
     spark = cut.sparkSession
-    s = Scratch(spark, "packing")
+    s = scratch or Scratch(spark, "packing")
     cut = s.keep(cut, "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    frame, _, _ = plan(histogram, capacity)
+    frame, _, _, _ = plan(histogram, capacity)
     ranks = ranked(cut, ["length"], [F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], bucket_count(sum(histogram.values())), s)
     frame = frame.sort_values(["length", "lo"])
     length0, lo, seq0, slot = (frame[c].to_numpy(np.int64) for c in ("length", "lo", "sequence0", "slot"))
