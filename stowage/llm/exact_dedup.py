@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import SPACES, Scratch, broadcast_if_small, table
+from stowage.llm.common import SPACES, Scratch, broadcast_if_small, column, rows_of, sum_of, table
 
 FIRST_DIGIT = 32
 GROWTH = 4
@@ -33,18 +33,17 @@ def _digit(start: int, width: int):
     return F.substring("rest", start + 1, width)
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (and ``carry``)."""
-    spark, carry = docs.sparkSession, carry or []
-    s = Scratch(spark, "exact")
-    plain = F.coalesce(F.col(text), F.lit(""))
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (and ``carry``). The result reads ``scratch``."""
+    carry, s = carry or [], scratch or Scratch(docs.sparkSession, "exact")
+    plain = F.coalesce(column(text), F.lit(""))
     whole = F.translate(plain, SPACES, "").cast("binary")
     head = docs.select(whole.alias("rest")).select(F.octet_length("rest").alias("size"), _digit(0, FIRST_DIGIT).alias("head"))
     shared = s.keep(head.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("size", "head"), "heads")
-    shared_n = shared.count()
+    shared_n = rows_of(shared)
     near = broadcast_if_small(shared.select("size", "head", F.lit(True).alias("shared")), shared_n, 128)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c).alias(f"c_{c}") for c in carry], F.length(plain).alias("points"), whole.alias("rest"))
+    rows = docs.select(column(doc_id).alias("doc_id"), *[column(c).alias(f"c_{c}") for c in carry], F.length(plain).alias("points"), whole.alias("rest"))
     rows = rows.select("*", F.octet_length("rest").alias("size"), _digit(0, FIRST_DIGIT).alias("head"), F.sha2("rest", 256).alias("text_sha256"))
     rows = rows.join(near, ["size", "head"], "left").withColumn("rest", F.when(F.col("shared"), F.col("rest")))
     rows = s.keep(rows.withColumn("head", F.when(F.col("shared"), F.col("head"))).withColumn("uid", F.monotonically_increasing_id()), "rows")
@@ -54,16 +53,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
     live = live.join(broadcast_if_small(first, shared_n, 160), ["size", "head"]).select("uid", "doc_id", "points", "size", "gid", F.expr(f"substring(rest, {FIRST_DIGIT} + 1)").alias("rest"))
     start, width, ended = FIRST_DIGIT, FIRST_DIGIT * GROWTH, []
     while shared_n:
-        live = s.keep(live, "live")
+        live = s.keep(live, "live", going=(F.col("size") > start).cast("int"))
         done = live.filter(F.col("size") <= start).select("uid", "doc_id", "points", "gid")
         ended.append(done)
         going = live.filter(F.col("size") > start)
-        if going.isEmpty():
+        if not sum_of(live, "going"):
             break
         keyed = going.withColumn("digit", _digit(0, width))
         splits = keyed.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("next")).filter("n > 1")
         splits = s.keep(splits.select("gid", "digit", "next"), "splits")
-        live = keyed.join(broadcast_if_small(splits, splits.count(), 96 + width), ["gid", "digit"])
+        live = keyed.join(broadcast_if_small(splits, rows_of(splits), 96 + width), ["gid", "digit"])
         live = live.select("uid", "doc_id", "points", "size", F.col("next").alias("gid"), F.expr(f"substring(rest, {width} + 1)").alias("rest"))
         start, width = start + width, width * GROWTH
     names = [F.col(f"c_{c}").alias(c) for c in carry]
@@ -76,11 +75,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
     best = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("uid").alias("u"))
     groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("b")).filter("n > 1")
     groups = s.keep(groups.select("gid", "n", F.col("b.d").alias("keep"), F.col("b.u").alias("first")), "groups")
-    told = members.select("uid", "gid").join(broadcast_if_small(groups, groups.count(), 96), "gid").select("uid", "n", "keep", "first")
+    told = members.select("uid", "gid").join(broadcast_if_small(groups, rows_of(groups), 96), "gid").select("uid", "n", "keep", "first")
     told = s.keep(told, "told")
-    told_n = told.count()
-    told = broadcast_if_small(told, told_n, 64)
-    alone = alone.join(told, "uid", "left")
+    s.drop_but(rows, told)
+    alone = alone.join(broadcast_if_small(told, rows_of(told), 64), "uid", "left")
     in_group = F.col("n").isNotNull()
     return alone.select(
         "doc_id",
@@ -92,10 +90,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry:
     )
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    return classes(whole, "__id", "__text", carry=["__row"]).filter("kept").select("__row.*")
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The rows that stay, with the columns of ``docs``. The result reads ``scratch``."""
+    whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(doc_id).alias("id"), column(text).alias("text"))
+    kept = classes(whole, "id", "text", ["row"], scratch).filter("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

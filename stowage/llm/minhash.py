@@ -3,8 +3,8 @@
 A document is a weighted set of its five-word shingles (a shorter one is a single shingle). The weight of
 a shingle is its count in the document times its inverse document frequency. Almost every five-word
 shingle is in one document only, so its frequency is taken from its words: the mean over its five words
-of ``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``, with df counted over all documents in 2**16 hashed buckets
-(a table of fixed size, so it may be broadcast).
+of ``1 + ln((1 + N) / (1 + df)) / ln(1 + N)``, with df counted over all documents in 2**18 hashed buckets
+(a table of 1 MB, whatever the corpus, so it may be broadcast).
 
 Sampling is improved consistent weighted sampling, bin-wise: four independent samplings, each of which
 deals the shingles over 16 bins by hash and keeps the least element of every bin; an empty bin takes that
@@ -12,10 +12,11 @@ of the next full one. Bin b of all four samplings is band b, so documents of sim
 with probability about s**4, and in one of 16 bands with 1 - (1 - s**4)**16 (0.9998 at 0.8).
 
 Equal texts (up to white space) are one node. In each bucket of a band all nodes are compared with one
-hub of the bucket; links are confirmed by the exact weighted Jaccard similarity of both whole texts, and
-connected. As long as a bucket then holds several components, more rounds follow: small buckets compare
-all pairs that lie in different components, large ones take other hubs, until a round finds nothing new.
-So a bucket of m near copies costs about m comparisons, and no pair is listed twice.
+hub of the bucket, the node that shares most bucket rows in all its bands (the original of many copies does);
+links are confirmed by the exact weighted Jaccard similarity of both whole texts, and connected. Where a bucket
+then holds several components, small buckets compare all pairs that lie in different ones, and large ones take
+a second hub among those that the first one left. So a bucket of m near copies costs about m comparisons, and
+no pair is listed twice.
 
 What large buckets still hold in different components is settled by exact prefix filtering. The shingles of
 a text are put in one order, rare ones first. Let r(x) be the weight of a text from its shingle x on, and W its
@@ -34,12 +35,14 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stowage.llm import textvec
-from stowage.llm.common import SPACES, Scratch, broadcast_if_small, table
+from stowage.llm.common import SPACES, Scratch, broadcast_if_small, column, fresh, rows_of, sum_of, table
 from stowage.llm.textvec import U, buffers, mix, runs, slices, windows, word_hashes
 
 for _module in (textvec, sys.modules[__name__]):  # workers then need no copy of the package
@@ -48,12 +51,11 @@ for _module in (textvec, sys.modules[__name__]):  # workers then need no copy of
 SHINGLE = 5
 THRESHOLD = 0.8
 SAMPLINGS, BANDS = 4, 16
-DF_BITS = 16
+DF_BITS = 18
 #: Buckets of up to so many nodes compare all pairs of different components in the second round.
 SMALL_BUCKET = 16
-MAX_ROUNDS = 6
 #: Counters of shingles that put them in order of rarity, and slack for sums of floats in another order.
-ORDER_BITS, SLACK = 20, 1 - 1e-6
+ORDER_BITS, SLACK = 18, 1 - 1e-6
 
 
 def _frequencies(batches):
@@ -71,12 +73,12 @@ def _frequencies(batches):
 
 
 def idf_table(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The inverse document frequency of each of the 2**16 hashed words, from all documents."""
-    got = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = {r.bucket: r.n for r in got.collect()}  # 2**16 + 1 rows at most
-    n, df = got.pop(-1, 0), np.zeros(1 << DF_BITS)
-    if got:
-        df[list(got)] = list(got.values())
+    """The inverse document frequency of each of the 2**18 hashed words, from all documents."""
+    got = docs.select(column(text).alias("text")).mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**18 + 1 rows at most
+    bucket, count = (got.column(c).to_numpy() for c in ("bucket", "n"))
+    df = np.zeros(1 << DF_BITS)
+    df[bucket[bucket >= 0]] = count[bucket >= 0]
+    n = int(count[bucket < 0].sum())
     return (1 + np.log((1 + n) / (1 + df)) / np.log(max(2, 1 + n))).astype(np.float32)
 
 
@@ -169,8 +171,10 @@ def _similar(idf, threshold):
 
     def run(batches):
         for batch in batches:
-            for c in range(0, len(batch), 500):
-                part = batch.slice(c, 500)
+            size = pc.add(pc.binary_length(batch.column("left_text")), pc.binary_length(batch.column("right_text")))
+            ends = np.cumsum(np.append(0, size.to_numpy(zero_copy_only=False).astype(np.int64)))
+            for c, d in slices(ends):  # some megabytes of text, or one pair
+                part = batch.slice(c, d - c)
                 left = part.column("left_text").dictionary_encode()
                 lefts, at = weights(left.dictionary), left.indices.to_numpy(zero_copy_only=False)
                 ok = np.zeros(len(part), bool)
@@ -232,42 +236,57 @@ def unsettled_pairs(s: Scratch, texts: DataFrame, label: DataFrame, idf, thresho
     """All pairs a, b of ``texts`` (node, text) of different ``label`` that prefix filtering does not prove to be below the threshold."""
     spark = texts.sparkSession
     seen = np.zeros(1 << ORDER_BITS, np.int32)
-    got = texts.select("text").mapInArrow(_occurrences(idf), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**20 rows at most
+    got = texts.select("text").mapInArrow(_occurrences(idf), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # 2**18 rows at most
     seen[got.column("bucket").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**31 - 1)
     prefix = texts.mapInArrow(_prefixes(idf, spark.sparkContext.broadcast(seen), threshold), "node long, fp long, rest double, total double, light boolean")
-    prefix = s.keep(prefix.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "prefixes")
+    of = broadcast_if_small(label.select(F.col("node").alias("of"), "label"), rows_of(label), 64)
+    prefix = s.keep(prefix.join(of, F.col("node") == F.col("of")).drop("of"), "prefixes")
     # pairs inside the most frequent component of a shingle are never listed
     met = prefix.groupBy("fp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("light").alias("any"), F.mode("label", True).alias("most")).filter("lo < hi AND any")
     met = s.keep(met.select("fp", "most"), "met")
-    rows = s.keep(prefix.join(broadcast_if_small(met, met.count(), 64), "fp").withColumn("of_most", F.expr("label = most")).drop("most"), "met_rows")
+    rows = s.keep(prefix.join(broadcast_if_small(met, rows_of(met), 64), "fp").withColumn("of_most", F.expr("label = most")).drop("most"), "met_rows")
+    s.drop(prefix, met)
     a = rows.filter("light").select("fp", *[F.col(c).alias(f"{c}_a") for c in ("node", "rest", "total", "label", "of_most")])
     b = rows.select("fp", *[F.col(c).alias(f"{c}_b") for c in ("node", "rest", "total", "label", "of_most")])
-    may = f"label_a <> label_b AND total_a <= total_b AND total_a >= {threshold * SLACK} * total_b AND least(rest_a, rest_b) >= {threshold / (1 + threshold) * SLACK} * (total_a + total_b)"
-    pairs = [x.hint("merge").join(y, "fp").filter(may) for x, y in ((a.filter("NOT of_most_a"), b), (a.filter("of_most_a"), b.filter("NOT of_most_b")))]
-    pairs = pairs[0].unionByName(pairs[1]).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return pairs.distinct()
+    may = f"label_a <> label_b AND NOT (of_most_a AND of_most_b) AND total_a <= total_b AND total_a >= {threshold * SLACK} * total_b AND least(rest_a, rest_b) >= {threshold / (1 + threshold) * SLACK} * (total_a + total_b)"
+    pairs = a.hint("merge").join(b, "fp").filter(may)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def components(s: Scratch, links: DataFrame) -> DataFrame:
     """node, label (its component's smallest node) of all nodes with links, by label passing and pointer jumps."""
     both = s.keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "both")
     label = s.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "label")
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        low = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("low"))
-        jump = low.join(label.select(F.col("node").alias("low"), F.col("label").alias("far")), "low")
-        jump = s.keep(jump.select("node", "old", F.least("low", "far").alias("label")), "label")
-        if jump.filter("label < old").isEmpty():
-            s.drop(both)
-            return jump.select("node", "label")
-        label = jump.select("node", "label")
+    n = rows_of(label)
+    while n:
+        of = broadcast_if_small(label.select(F.col("node").alias("of"), F.col("label").alias("far")), n, 64)
+        near = both.join(of, F.col("b") == F.col("of")).groupBy(F.col("a").alias("near")).agg(F.min("far").alias("low"))
+        low = label.join(near, F.col("node") == F.col("near")).select("node", "label", F.least("label", "low").alias("low"))
+        jump = low.join(of, F.col("low") == F.col("of")).select("node", F.least("low", "far").alias("new"), "label")
+        jump = s.keep(jump.select("node", F.col("new").alias("label"), (F.col("new") < F.col("label")).cast("int").alias("moved")), "label", moved=F.col("moved"))
+        s.drop(label)
+        label = jump
+        if not sum_of(jump, "moved"):
+            break
+    s.drop(both)
+    return label
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, class_size, kept."""
+def merged(s: Scratch, label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, label) after links a, b between its nodes: the components of components."""
+    n = rows_of(label)
+    of = lambda x: broadcast_if_small(label.select(F.col("node").alias(f"node_{x}"), F.col("label").alias(f"label_{x}")), n, 64)
+    ends = links.join(of("a"), F.col("a") == F.col("node_a")).join(of("b"), F.col("b") == F.col("node_b"))
+    top = components(s, ends.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).filter("a <> b"))
+    top_of = broadcast_if_small(top.select(F.col("node").alias("old"), F.col("label").alias("new")), rows_of(top), 64)
+    out = s.keep(label.join(top_of, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "label")
+    s.drop(label, top)
+    return out
+
+
+def _classes(s: Scratch, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    s = Scratch(spark, "minhash")
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
     # equal up to white space: one node
     plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     named = named.withColumn("digest", F.unhex(F.md5(plain)))
@@ -275,92 +294,108 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     id_type = named.schema["doc_id"].dataType.simpleString()
     sketch = named.mapInArrow(_sketch(idf), f"doc_id {id_type}, digest binary, bands array<long>")
     rows = s.keep(sketch.withColumn("uid", F.monotonically_increasing_id()), "rows")
-    told = rows.filter("bands IS NOT NULL")
-    nodes = told.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_id"))
+    # a node's name, its row of the smallest doc_id (null last, then the first of repeated rows), its copies and bands
+    first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("uid").alias("u"))
+    bands = [F.col("bands")[i] for i in range(BANDS)]
+    nodes = rows.filter("bands IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("node"), F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.min(b).alias(f"b{i}") for i, b in enumerate(bands)])
     nodes = s.keep(nodes, "nodes")
-    firsts = nodes.select(F.col("node").alias("uid")).join(told.select("uid", "bands"), "uid")
-    bucket = firsts.select(F.col("uid").alias("node"), F.posexplode("bands")).select(F.col("col").alias("key"), "node")
-    shared = s.keep(bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1"), "shared")
-    shared_n = shared.count()
-    buckets = s.keep(bucket.join(broadcast_if_small(shared, shared_n, 64), "key"), "buckets")
-    wanted = nodes.join(buckets.select("node").distinct(), "node")
-    wanted = s.keep(wanted.select("digest", "node", F.col("first_id").alias("doc_id")), "wanted")
-    wanted_n = wanted.count()
-    near = broadcast_if_small(wanted, wanted_n, 96)
-    texts = named.join(near.withColumnRenamed("doc_id", "first_id"), "digest").filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    texts = s.keep(texts.select("node", "text"), "texts")
+    bucket = nodes.select("node", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
+    shared = s.keep(bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    # a node's degree: the rows of all its buckets; the original of many copies has the highest
+    buckets = bucket.join(broadcast_if_small(shared, rows_of(shared), 64), "key")
+    buckets = s.keep(buckets.withColumn("degree", F.sum("n").over(Window.partitionBy("node"))), "buckets")
+    s.drop(shared)
+    wanted = s.keep(buckets.select("node").distinct(), "wanted")
+    n = rows_of(wanted)
+    label = None
+    if n:
+        near = nodes.join(broadcast_if_small(wanted, n, 48), "node").select("node", F.col("digest").alias("of_digest"), F.col("first.d").alias("first_id"))
+        texts = named.join(broadcast_if_small(near, n, 128), (F.col("digest") == F.col("of_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+        texts = s.keep(texts.select("node", "text"), "texts")
+        if rows_of(texts) > n:  # repeated rows
+            texts = s.keep(texts.dropDuplicates(["node"]), "texts")
+        label = _linked(s, buckets, wanted, texts, idf, threshold)
+        s.drop(texts)
+    s.drop(buckets, wanted)
+    # classes of several rows, named by their first row, which stays
+    of = nodes.select("digest", "first", "copies", F.col("node").alias("label")) if label is None else nodes.join(broadcast_if_small(label.select(F.col("node").alias("of"), "label"), n, 64), F.col("node") == F.col("of"), "left").select("digest", "first", "copies", F.coalesce("label", "node").alias("label"))
+    of = s.keep(of, "of")
+    name = s.keep(of.groupBy("label").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size")).filter("class_size > 1"), "names")
+    told = of.select(F.col("digest").alias("of_digest"), "label").join(broadcast_if_small(name, rows_of(name), 128), "label")
+    told = s.keep(told.select("of_digest", F.col("first.d").alias("class_id"), F.col("first.u").alias("keeper"), "class_size"), "told")
+    out = rows.select("uid", "doc_id", "digest").join(broadcast_if_small(told, rows_of(told), 160), F.col("digest") == F.col("of_digest"), "left")
+    s.drop_but(rows, told)
+    alone = F.col("class_size").isNull()
+    return out.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        (alone | (F.col("keeper") == F.col("uid"))).alias("kept"),
+    )
+
+
+def _linked(s: Scratch, buckets: DataFrame, wanted: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """node, label of all nodes in shared buckets: the smallest node that it is linked to, however far."""
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("left_text"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("right_text"))
         both = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-        return both.mapInArrow(_similar(idf, threshold), "a long, b long").distinct()
-
-    pairs = s.keep(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = s.keep(confirmed(pairs), "links")
-    label = components(s, links)
-    tested = pairs
-    for turn in range(1, MAX_ROUNDS if wanted_n else 1):
-        named_buckets = buckets.filter("n > 2").join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = named_buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("hub")).filter("lo < hi")
-        mixed = s.keep(mixed.select("key", "hub"), "mixed")
-        open_rows = named_buckets.join(broadcast_if_small(mixed, mixed.count(), 64), "key")
-        by_hub = open_rows.filter(f"n > {SMALL_BUCKET} AND label <> hub.label").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        if turn == 1:
-            small = open_rows.filter(f"n <= {SMALL_BUCKET}")
-            other = small.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            by_hub = by_hub.union(small.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b AND label <> label_b").select("a", "b"))
-        more = by_hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = s.keep(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        found = s.keep(confirmed(more), "links")
-        tested = tested.union(more)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        label = components(s, links)
-    if wanted_n:
-        crowded = buckets.filter(f"n > {SMALL_BUCKET}").join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        return s.keep(both.mapInArrow(_similar(idf, threshold), "a long, b long").distinct(), "links")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # first, all nodes of a bucket with its node of the highest degree
+    central = F.max(F.struct("degree", (-F.col("node")).alias("node")))
+    hubs = s.keep(buckets.groupBy("key").agg(central.alias("top")).select("key", (-F.col("top.node")).alias("hub")), "hubs")
+    tested = s.keep(ordered(buckets.join(broadcast_if_small(hubs, rows_of(hubs), 64), "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "pairs")
+    label = components(s, confirmed(tested))
+    label = s.keep(wanted.join(broadcast_if_small(label.select(F.col("node").alias("of"), "label"), rows_of(label), 64), F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("label")), "label")
+    of_node = lambda: broadcast_if_small(label.select(F.col("node").alias("of"), "label"), rows_of(label), 64)
+    # then, in buckets of several components: small ones all pairs, others with the hub of those that the first hub left
+    many = buckets.filter("n > 2").join(of_node(), F.col("node") == F.col("of")).drop("of")
+    mixed = many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("degree", -F.col("node"))).alias("hub_label")).filter("lo < hi")
+    mixed = s.keep(mixed.select("key", "hub_label"), "mixed")
+    if rows_of(mixed):
+        open_ = s.keep(many.join(broadcast_if_small(mixed, rows_of(mixed), 64), "key"), "open")
+        small = open_.filter(f"n <= {SMALL_BUCKET}")
+        other = small.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+        more = small.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b AND label <> label_b").select("a", "b")
+        hubs = open_.filter(f"n > {SMALL_BUCKET} AND label <> hub_label").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"), "label")).alias("top"))
+        hubs = s.keep(hubs.select("key", (-F.col("top.node")).alias("hub"), F.col("top.label").alias("of_hub")), "hubs")
+        more = more.union(open_.join(broadcast_if_small(hubs, rows_of(hubs), 80), "key").filter("label <> of_hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        more = s.keep(ordered(more).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = confirmed(more)
+        if rows_of(found):
+            label = merged(s, label, found)
+        # what large buckets still hold apart is settled by prefix filtering
+        crowded = open_.filter(f"n > {SMALL_BUCKET}").select("key", "node").join(of_node(), F.col("node") == F.col("of")).drop("of")
         mixed = s.keep(crowded.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"), "mixed")
-        left = s.keep(crowded.join(broadcast_if_small(mixed, mixed.count(), 64), "key").select("node").distinct(), "unsettled")
-        left_n = left.count()
-        if left_n:
-            more = unsettled_pairs(s, s.keep(texts.join(broadcast_if_small(left, left_n, 64), "node"), "unsettled_texts"), label, idf, threshold)
-            more = s.keep(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-            found = s.keep(confirmed(more), "links")
-            if not found.isEmpty():
-                label = components(s, links.union(found))
-    # names of components: their smallest doc_id
-    of = nodes.join(label, "node", "left").select("digest", "first_id", F.coalesce("label", "node").alias("label"))
-    size = told.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
-    of = s.keep(of.join(size, "digest"), "of")
-    name = of.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size")).filter("class_size > 1")
-    name = s.keep(name, "names")
-    named_nodes = s.keep(of.join(broadcast_if_small(name, name.count(), 64), "label").select("digest", "class_id", "class_size"), "named")
-    named_n = named_nodes.count()
-    # of repeated rows of the smallest doc_id, one stays
-    member = rows.select("uid", "doc_id", "digest").join(broadcast_if_small(named_nodes, named_n, 96).withColumnRenamed("digest", "of_digest"), F.col("digest") == F.col("of_digest"), "left")
-    member = s.keep(member.drop("of_digest", "digest"), "members")
-    stays = member.filter(F.col("class_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stays = stays.groupBy("class_id").agg(F.min("uid").alias("keeper"))
-    stays_n = stays.count()
-    out = member.join(broadcast_if_small(stays.withColumnRenamed("class_id", "of_class"), stays_n, 64), F.col("class_id").eqNullSafe(F.col("of_class")) & F.col("class_size").isNotNull(), "left")
-    return out.select(
-        "doc_id",
-        F.when(F.col("class_size").isNotNull(), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("class_size").isNull() | (F.col("keeper") == F.col("uid"))).alias("kept"),
-    )
+        if rows_of(mixed):
+            left = s.keep(crowded.join(broadcast_if_small(mixed, rows_of(mixed), 48), "key").select("node").distinct(), "unsettled")
+            apart = s.keep(texts.join(broadcast_if_small(left, rows_of(left), 48), "node"), "unsettled_texts")
+            last = unsettled_pairs(s, apart, label, idf, threshold).join(tested.unionByName(more), ["a", "b"], "left_anti")
+            found = confirmed(s.keep(last, "pairs"))
+            if rows_of(found):
+                label = merged(s, label, found)
+    return label
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class that with the smallest doc_id (null last)."""
-    s = Scratch(docs.sparkSession, "near")
-    docs = s.keep(docs.withColumn("__uid", F.monotonically_increasing_id()), "docs")
-    named = docs.select(F.struct(F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("d"), F.col("__uid").alias("u")).alias("__id"), F.col(text).alias("__text"))
-    gone = s.keep(classes(named, "__id", "__text", threshold).filter("NOT kept").select(F.col("doc_id.u").alias("__uid")), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count(), 32), "__uid", "left_anti").drop("__uid")
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, class_size, kept."""
+    return _classes(Scratch(docs.sparkSession, "minhash"), docs, doc_id, text, threshold)
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class that with the smallest doc_id (null last). The result reads ``scratch``."""
+    s, uid = scratch or Scratch(docs.sparkSession, "near"), fresh(docs, "uid")
+    docs = s.keep(docs.withColumn(uid, F.monotonically_increasing_id()), "docs")
+    named = docs.select(F.struct(column(doc_id).isNull().alias("z"), column(doc_id).alias("d"), F.col(uid).alias("u")).alias("id"), column(text).alias("text"))
+    inner = Scratch(docs.sparkSession, "minhash")
+    gone = s.keep(_classes(inner, named, "id", "text", threshold).filter("NOT kept").select(F.col("doc_id.u").alias(uid)), "gone")
+    inner.close()
+    return docs.join(broadcast_if_small(gone, rows_of(gone), 48), uid, "left_anti").drop(uid)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

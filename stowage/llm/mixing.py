@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stowage.llm.common import Scratch, broadcast_if_small, bucket_count, ranked, table, word_count
+from stowage.llm.common import Scratch, broadcast_if_small, bucket_count, column, ranked, rows_of, sum_of, table, word_count
 
 MOST_EPOCHS = 3
 #: Slope of the schedule by the source's weight: heavier sources are shown more towards the end.
@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     """
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     t = sizes.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
-    t = scratch.keep(t.withColumn("bound", (F.col("source_size") * MOST_EPOCHS).cast("double")), "sources")
-    total, capped = t.agg(F.sum("source_size")).first()[0] or 0, -1
+    t = scratch.keep(t.withColumn("bound", (F.col("source_size") * MOST_EPOCHS).cast("double")), "sources", size=F.col("source_size"))
+    total, capped = sum_of(t, "size"), -1
     share = 0.0
     while True:
         held = F.col("bound") <= F.col("weight") * F.lit(share)
@@ -69,24 +69,22 @@ def _position(ahead: Column, target: Column, slope: Column) -> Column:
 CLASSES = (4, 16, 64)
 
 
-def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, keep: list[str]) -> DataFrame:
+def _mixed(s: Scratch, docs: DataFrame, doc_id: str, text: str, source: str, keep: list[str]) -> DataFrame:
     """``keep`` (or doc_id) and size, source_size, target, taken, copies, positions of every row.
 
     The totals of sources, buckets and classes come from a narrow written table. With nothing to keep, so
     do the rows; else the rows are read again and go through one window with what is to be kept.
     """
-    s = Scratch(docs.sparkSession, "mixing")
-    turn = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    turn = F.md5(F.coalesce(column(doc_id).cast("string"), F.lit("")))
     spread = F.conv(F.substring("turn", 1, 8), 16, 10).cast("long")
-    wide = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), turn.alias("turn"), F.xxhash64(text).alias("h"))
+    wide = docs.select(*[column(c).alias(f"k_{c}") for c in keep], column(doc_id).alias("doc_id"), column(source).cast("string").alias("source"), word_count(column(text)).alias("size"), turn.alias("turn"), F.xxhash64(column(text)).alias("h"))
     narrow = s.keep(wide.select("doc_id", "source", "size", "turn", "h"), "narrow")
-    sizes = s.keep(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sizes")
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    plan = targets(sizes.drop("n"), s)
+    n = rows_of(narrow)
+    plan = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), s)
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = s.keep(plan.withColumnRenamed("source", "of"), "targets")
-    n_sources = plan.count()
+    n_sources = rows_of(plan)
     same = F.col("source").eqNullSafe(F.col("of"))
 
     def classed(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -127,16 +125,16 @@ def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, keep: list[str]
     return placed.select(*([F.col(f"k_{c}").alias(c) for c in keep] or ["doc_id"]), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", starts.alias("positions"))
 
 
-def curriculum(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def curriculum(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies, and the positions of its copies."""
-    return _mixed(docs, doc_id, text, source, [])
+    return _mixed(scratch or Scratch(docs.sparkSession, "mixing"), docs, doc_id, text, source, [])
 
 
-def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The corpus as it is to be read: each taken copy is a row with the columns of ``docs``, range-sorted by position."""
-    whole = docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
-    copies = _mixed(whole, doc_id, text, source, ["__row"]).select("__row", F.explode("positions").alias("__at"))
-    return copies.repartitionByRange("__at").sortWithinPartitions("__at").select("__row.*")
+def training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """The corpus as it is to be read: each taken copy is a row with the columns of ``docs``, range-sorted by position. The result reads ``scratch``."""
+    whole = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), column(doc_id).alias("id"), column(text).alias("text"), column(source).alias("source"))
+    copies = _mixed(scratch or Scratch(docs.sparkSession, "mixing"), whole, "id", "text", "source", ["row"]).select("row", F.explode("positions").alias("at"))
+    return copies.repartitionByRange("at").sortWithinPartitions("at").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
