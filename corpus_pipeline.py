@@ -1,62 +1,41 @@
-"""The corpus pipeline: quality rules, exact and near duplicates, mixing, packing, each on what the last one kept."""
+"""The corpus pipeline: quality rules, exact and near duplicates, mixing, packing, each on what the last one kept.
 
-from __future__ import annotations
+Every stage takes the columns of ``documents`` (more may follow, whatever their names) and all rows of its
+predecessor. Null and empty texts fail the quality rules, and an empty table passes through every stage. Stages are
+lazy over working tables: these stay until ``scratch.close()``, or the end of the process where none is given.
+"""
 
-import functools
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stowage.llm import exact_dedup, minhash, mixing, packing, quality_rules
-from stowage.llm.common import Scratch, made, remove, table
-
-
-_left: list = []
-
-
-def _tidy(stage):
-    """A stage that first deletes the working tables of the stage before, whose result is written by then."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for session, path in _left:
-            if session is spark:
-                remove(spark, path)
-        before = len(made())
-        out = stage(spark, docs, sf_dir)
-        _left[:] = made()[before:]
-        return out
-
-    return run_stage
+from stowage.llm.common import Scratch, table
 
 
-@_tidy
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that fail are gone from the texts; documents that fail are gone."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """Lines that fail are gone from the texts; documents that fail are gone, those with null or empty texts among them."""
     return quality_rules.clean(docs)
 
 
-@_tidy
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
-    return exact_dedup.deduplicate(docs)
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """One row of each group of equal texts, that with the most code points, then the smallest doc_id (null last)."""
+    return exact_dedup.deduplicate(docs, scratch=scratch)
 
 
-@_tidy
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates."""
-    return minhash.deduplicate(docs)
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """One row of each class of near duplicates, that with the smallest doc_id (null last); texts without words stay."""
+    return minhash.deduplicate(docs, scratch=scratch)
 
 
-@_tidy
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The taken copies in training order; a document that is taken twice is two rows."""
-    return mixing.training_order(docs)
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
+    """The taken copies in training order; a document that is taken twice is two rows, one without words none."""
+    return mixing.training_order(docs, scratch=scratch)
 
 
-@_tidy
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """One row per piece with its sequence and place."""
-    return packing.pack(packing.pieces(docs, packing.tokenizer_path()))
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()), scratch=scratch)
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("minhash_near_dedup", near), ("curriculum_mixing", mix), ("bestfit_packing", pack)]
@@ -66,8 +45,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written and read again; returns what the last one gives."""
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    """All stages in order, each written and read again; returns what the last one gives.
+
+    A stage's working tables are deleted once its result is written, and that result once the next one's is.
+    """
+    docs, held = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        work = Scratch(spark, name)
+        out = held.keep(stage(spark, docs, sf_dir, work), name)
+        work.close()
+        if i:
+            held.drop(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
