@@ -6,20 +6,22 @@ with one word between, all hashed into 2**20 coordinates. FTRL-proximal keeps a
 coordinate and an L1 bound under which a weight is exactly zero, so the model is a short list of
 (coordinate, weight); its size is bounded by the coordinates, so it may be broadcast.
 
-Scores are calibrated: each half of the training rows is scored by a model of the other half, and a slope
-and an intercept fitted to those (Platt's method) are applied to the model of all.
+Scores are calibrated: training rows are halved by hash, each half is scored by a model of the other half, and
+a slope and an intercept fitted to those scores (Platt's method) are applied to the model of all. The three models are
+trained in three tasks at once.
 
-Training reads at most MAX_TRAINING labelled rows, those first in an order by hash; features are made in
-parallel, and one task makes the passes in that fixed order, so reruns agree. Features in fewer than
-MIN_ROWS of them are left out. Scores read all whole texts.
+Training reads at most MAX_TRAINING labelled rows of at most MAX_WORDS words together (a longer row than what is
+left teaches nothing), those first in an order by hash, and makes the passes in that order, so reruns agree, and
+no task holds more than the features of so many words. Features in fewer than MIN_ROWS rows are left out. Scores
+read all whole texts.
 
-The settings below were chosen by comparing a dozen on held-out rows of small tables (see the README), so
-figures on those rows are not independent of them.
+The rate and the L1 bound below were chosen on rows that may teach: trained on those with remainder 0, compared
+on those with remainder 2 (see the README). No held-out row chose anything.
 
 Only rows with ``crc32(doc_id as text) mod 3 <> 1`` may teach. No score looks at labels, language, source
 or id. Defined cases: null and empty texts score by the intercept alone; very long texts are read whole;
 repeated rows score alike; a label that is null, or that names no document, teaches nothing; without
-labels of both kinds the score is that of the intercept. Other columns are not touched. An empty table
+labels of both kinds the score is that of the intercept. Rows that repeat teach once. Other columns are not touched. An empty table
 gives an empty table.
 """
 
@@ -32,9 +34,10 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stowage.llm import textvec
-from stowage.llm.common import table
+from stowage.llm.common import Scratch, column, rows_of, table, word_count
 from stowage.llm.textvec import FOLD, NOT_ALNUM, U, buffers, mix, runs, slices, word_hashes
 
 for _module in (textvec, sys.modules[__name__]):  # workers then need no copy of the package
@@ -44,7 +47,8 @@ BITS = 20
 STEM = 5
 MAX_TRAINING = 12_000
 MIN_ROWS = 3
-EPOCHS, ALPHA, BETA, L1, L2 = 16, 1.0, 1.0, 8.0, 0.0
+MAX_WORDS = 8_000_000
+EPOCHS, ALPHA, BETA, L1, L2 = 16, 1.0, 1.0, 16.0, 0.0
 THRESHOLD = 0.7
 
 
@@ -67,19 +71,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out_row), (np.concatenate(out) >> U(64 - BITS)).astype(np.int64)
 
 
+def feature_sets(texts: pa.Array) -> pa.ListArray:
+    """The different coordinates of each text."""
+    data, offsets = buffers(texts)
+    flat, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for a, b in slices(offsets):
+        row, x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        key = np.unique((row.astype(np.int64) << BITS) | x)
+        sizes.append(np.bincount(key >> BITS, minlength=b - a))
+        flat.append((key & ((1 << BITS) - 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(flat)))
+
+
 def _feature_sets(batches):
     for batch in batches:
-        data, offsets = buffers(batch.column("text"))
-        sets = []
-        for a, b in slices(offsets):
-            row, x = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            key = np.unique((row.astype(np.int64) << BITS) | x)
-            cut = np.searchsorted(key >> BITS, np.arange(b - a + 1))
-            key = (key & ((1 << BITS) - 1)).astype(np.int32)
-            sets += [key[i:j] for i, j in zip(cut[:-1], cut[1:])]
-        sizes = np.array([0, *map(len, sets)], np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("turn"), batch.column("label"), pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))], names=["turn", "label", "features"])
+        names = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], feature_sets(batch.column("text"))], names=[*names, "features"])
 
 
 def ftrl(sets: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -116,54 +123,73 @@ def calibration(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(sets: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, float]:
-    """Calibrated weights and intercept."""
+    """Weights and intercept, without features of fewer than MIN_ROWS rows."""
     rows = np.bincount(np.concatenate([np.zeros(0, np.int64), *sets]), minlength=1 << BITS)
-    sets = [x[rows[x] >= MIN_ROWS] for x in sets]
-    w, w0 = ftrl(sets, labels)
-    y = np.array(labels)
-    if not 0 < y.sum() < len(y):
-        return w, w0
-    margins = np.zeros(len(y))
-    for half in (0, 1):
-        v, v0 = ftrl(sets[1 - half :: 2], labels[1 - half :: 2])
-        margins[half::2] = [v[x].sum() + v0 for x in sets[half::2]]
-    a, b = calibration(margins, y)
-    return w * np.float32(a), float(w0 * a + b)
+    return ftrl([x[rows[x] >= MIN_ROWS] for x in sets], labels)
 
 
-def _train(batches):
-    turns, labels, sets = [], [], []
-    for batch in batches:
-        turns += batch.column("turn").to_pylist()
-        labels += batch.column("label").to_pylist()
-        flat, at = batch.column("features").values.to_numpy(), batch.column("features").offsets.to_numpy()
-        sets += [flat[i:j].copy() for i, j in zip(at[:-1], at[1:])]
-    order = sorted(range(len(turns)), key=turns.__getitem__)
-    w, w0 = fit([sets[i] for i in order], [labels[i] for i in order])
+def _lists(column) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def _train(rows: pa.Table) -> pa.Table:
+    """The model of one group: coordinate (-1: intercept) and weight."""
+    rows = rows.sort_by([("turn", "ascending"), ("h", "ascending"), ("label", "ascending")])
+    w, w0 = fit(_lists(rows.column("features")), rows.column("label").to_pylist())
     at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at].astype(float), w0))], names=["coordinate", "weight"])
+    return pa.table({"model": pa.array([rows.column("model")[0].as_py()] * (len(at) + 1), pa.int32()), "coordinate": np.append(at, -1), "weight": np.append(w[at].astype(float), w0)})
+
+
+def _margins(models):
+    """label and margin of every training row, by the model of the other half."""
+
+    def run(batches):
+        for batch in batches:
+            sets, half = _lists(batch.column("features")), batch.column("half").to_pylist()
+            m = [float(models.value[2 - h][0][x].sum() + models.value[2 - h][1]) for x, h in zip(sets, half)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(m, pa.float64())], names=["label", "margin"])
+
+    return run
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAINING) -> tuple[np.ndarray, float]:
-    """Weights and intercept from the labelled rows that may teach."""
-    may = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    turn = F.xxhash64("id", F.lit("turn"))
-    chosen = may.dropDuplicates(["id", "label"]).withColumn("turn", turn).orderBy("turn", "id", "label").limit(most)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # ``most`` rows at most
-    sets = texts.select("text", F.col("label").cast("int").alias("label"), F.struct("turn", "id", "label", F.xxhash64("text")).cast("string").alias("turn"))
-    sets = sets.mapInArrow(_feature_sets, "turn string, label int, features array<int>")
-    model = sets.repartition(1).mapInArrow(_train, "coordinate long, weight double").collect()  # 2**20 + 1 rows at most
-    w, w0 = np.zeros(1 << BITS, np.float32), 0.0
-    for r in model:
-        if r.coordinate < 0:
-            w0 = r.weight
-        else:
-            w[r.coordinate] = r.weight
-    return w, w0
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAINING, most_words: int = MAX_WORDS) -> tuple[np.ndarray, float]:
+    """Calibrated weights and intercept from the labelled rows that may teach."""
+    s = Scratch(docs.sparkSession, "toxicity")
+    may = labels.select(column(doc_id).alias("id"), column(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    chosen = may.distinct().withColumn("turn", F.xxhash64("id", F.lit("turn"))).orderBy("turn", "id", "label").limit(most)
+    texts = docs.select(column(doc_id).alias("id"), column(text).alias("text")).withColumn("words", word_count("text")).filter(F.col("words") <= most_words)
+    texts = texts.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("text"))  # ``most`` rows at most are broadcast
+    # of rows that repeat one; then the first in order, as far as the words go
+    keys = texts.groupBy("turn", "h", "label").agg(F.max("words").alias("words")).orderBy("turn", "h", "label").limit(most)
+    ahead = F.sum("words").over(Window.orderBy("turn", "h", "label"))  # ``most`` narrow rows at most
+    keys = s.keep(keys.withColumn("ahead", ahead).filter(F.col("ahead") <= most_words).select("turn", "h", "label", F.pmod(F.xxhash64("turn", F.lit("half")), F.lit(2)).cast("int").alias("half")), "keys")
+    taught = texts.select("text", "turn", "h", "label").join(F.broadcast(keys), ["turn", "h", "label"])
+    taught = taught.mapInArrow(_feature_sets, "turn long, h long, label int, half int, features array<int>")
+    sets = s.keep(taught.dropDuplicates(["turn", "h", "label"]), "sets")
+    one, n = sets.agg(F.sum("label")).first()[0] or 0, rows_of(sets)
+    # model 0 learns from all rows, 1 and 2 from a half each
+    models = F.array(F.lit(0), F.col("half") + 1) if 0 < one < n else F.array(F.lit(0))
+    got = sets.select(F.explode(models).alias("model"), "turn", "h", "label", "features").groupBy("model").applyInArrow(_train, "model int, coordinate long, weight double").toArrow()  # 3 * (2**20 + 1) rows at most
+    model, at, weight = (got.column(c).to_numpy() for c in ("model", "coordinate", "weight"))
+    found = []
+    for k in range(3):
+        w, mine = np.zeros(1 << BITS, np.float32), model == k
+        w[at[mine & (at >= 0)]] = weight[mine & (at >= 0)]
+        found.append((w, float(weight[mine & (at < 0)].sum())))
+    (w, w0), a, b = found[0], 1.0, 0.0
+    if 0 < one < n:
+        held = docs.sparkSession.sparkContext.broadcast(found)
+        told = sets.select("label", "half", "features").mapInArrow(_margins(held), "label int, margin double").toArrow()  # ``most`` rows at most
+        a, b = calibration(told.column("margin").to_numpy(), told.column("label").to_numpy().astype(float))
+        held.unpersist()
+    s.close()
+    return w * np.float32(a), float(w0 * a + b)
 
 
 def _scores(model):
@@ -190,7 +216,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_i
     w, w0 = model
     at = np.flatnonzero(w)
     held = docs.sparkSession.sparkContext.broadcast(((at, w[at]), w0))
-    named = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
+    named = docs.select(column(doc_id).alias("doc_id"), held_out(column(doc_id)).alias("held_out"), column(text).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
     return named.mapInArrow(_scores(held), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
