@@ -20,19 +20,23 @@ def _bucket(period: str):
 def retain(snapshots: DataFrame, last: int = 0, daily: int = 0, weekly: int = 0, monthly: int = 0, yearly: int = 0) -> DataFrame:
     """Snapshots (at, time_ns) with kept: the newest, the ``last`` newest, and the newest of the newest n days, weeks, months, years (UTC).
 
-    A chain of snapshots is short (one row per backup run), so its windows have no partitions.
+    Only the names that stay are gathered, at most as many as the policy keeps; snapshots without a time stay by ``last`` alone.
     """
-    newest = Window.orderBy(F.desc("at"))
-    kept = F.row_number().over(newest) <= max(1, last)
-    out = snapshots
+    stay = snapshots.select("at").orderBy(F.desc("at")).limit(max(1, last))
     for period, n in (("daily", daily), ("weekly", weekly), ("monthly", monthly), ("yearly", yearly)):
         if n > 0:
-            b, r = f"__{period}", f"__{period}_rank"
-            out = out.withColumn(b, F.when(F.col("time_ns").isNotNull(), _bucket(period)))
-            out = out.withColumn(r, F.dense_rank().over(Window.orderBy(F.desc_nulls_last(b))))
-            first = F.row_number().over(Window.partitionBy(b).orderBy(F.desc("at"))) == 1
-            kept = kept | (F.col(b).isNotNull() & first & (F.col(r) <= n))
-    return out.withColumn("kept", kept).select(*snapshots.columns, "kept")
+            newest = snapshots.filter("time_ns IS NOT NULL").groupBy(_bucket(period).alias("period")).agg(F.max("at").alias("at"))
+            stay = stay.unionByName(newest.orderBy(F.desc("period")).limit(n).select("at"))
+    stay = F.broadcast(stay.distinct().select(F.col("at").alias("stays")))  # the policy's numbers bound it
+    return snapshots.join(stay, F.col("at") == F.col("stays"), "left").select(*snapshots.columns, F.col("stays").isNotNull().alias("kept"))
+
+
+def chains(snapshots: DataFrame, by: list[str]) -> DataFrame:
+    """Snapshots (at, prev) with the newest of their chain, how many are newer (depth), and whether each one but the oldest names the one before (linked)."""
+    back = Window.partitionBy(*by).orderBy(F.desc("at"))
+    whole = Window.partitionBy(*by)
+    out = snapshots.select("*", F.max("at").over(whole).alias("newest"), (F.row_number().over(back) - 1).alias("depth"), F.lead("at").over(back).alias("before"))
+    return out.withColumn("linked", F.col("prev").eqNullSafe(F.col("before"))).drop("before")
 
 
 def live_frames(members: DataFrame) -> DataFrame:

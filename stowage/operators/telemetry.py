@@ -13,12 +13,12 @@ def counter_rates(samples: DataFrame, by: list[str], order: list[str], counters:
     return samples.select("*", *[(F.col(c) - F.lag(c).over(w)).alias(f"d_{c}") for c in counters])
 
 
-def frame_costs(frames: DataFrame, members: DataFrame, root_depth: int = 2) -> DataFrame:
-    """Frames (frame, t0_ns, t1_ns, in_bytes, clen) with seconds, mb_s, ratio, and the root of their first path."""
-    first = members.groupBy("frame").agg(F.min("path").alias("first"))
+def frame_costs(frames: DataFrame, members: DataFrame, root_depth: int = 2, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Frames (``by``, t0_ns, t1_ns, in_bytes, clen) with seconds, mb_s, ratio, and the root of their first path."""
+    first = members.groupBy(*by).agg(F.min("path").alias("first"))
     s = (F.col("t1_ns") - F.col("t0_ns")) / 1e9
-    return frames.join(first, "frame", "left").select(
-        "frame",
+    return frames.join(first, list(by), "left").select(
+        *by,
         s.alias("seconds"),
         F.round(F.col("in_bytes") / 1e6 / F.greatest(s, F.lit(1e-9)), 3).alias("mb_s"),
         F.round(F.col("clen") / F.greatest(F.col("in_bytes"), F.lit(1)), 4).alias("ratio"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 T0, STEP = 1_700_000_000_000_000_000, 1_000_000_007
 
@@ -20,7 +21,7 @@ VIEWS = {
     "cn": "SELECT path, no, off, len, (doc_id * 31 + no * (1 + doc_id % 2)) % 1000 AS id FROM ch",
     "co": "SELECT path, no, off + CASE WHEN no > 2 THEN 64 ELSE 0 END AS off, len, (doc_id * 31 + no) % 1000 AS id FROM ch WHERE doc_id % 3 <> 0",
     "ino": "SELECT conv_id % 7 AS dev, conv_id AS ino, count(*) OVER (PARTITION BY conv_id) AS nlink, concat('c', CAST(conv_id % 7 AS VARCHAR), '/t', lpad(CAST(turn AS VARCHAR), 4, '0'), '-', CAST(conv_id AS VARCHAR)) AS path FROM conversations",
-    "snap": """SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS "at", CAST(epoch_us(o_orderdate) * 1000 AS BIGINT) AS time_ns FROM (SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 400)""",
+    "snap": """SELECT CAST(o_orderkey AS BIGINT) AS "at", CAST(epoch_us(o_orderdate) * 1000 AS BIGINT) AS time_ns, o_custkey AS store, lag(CAST(o_orderkey AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM orders""",
     "ev": "SELECT event_id, ts, user_id, event_type, value FROM events",
 }
 
@@ -80,10 +81,10 @@ def inodes(spark, sf_dir):
 
 
 def snapshots(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderdate", "o_orderkey").limit(400)
-    from pyspark.sql.window import Window
-
-    return o.select(F.row_number().over(Window.orderBy("o_orderkey")).cast("long").alias("at"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("time_ns"))
+    """All orders as snapshots; a customer's orders are the chain of one store."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    at = F.col("o_orderkey").cast("long")
+    return o.select(at.alias("at"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("time_ns"), F.col("o_custkey").alias("store"), F.lag(at).over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("prev"))
 
 
 def table(spark, sf_dir, name):

@@ -20,7 +20,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY "at" DESC) AS n, dense_rank() OVER (
 SELECT "at", time_ns, n <= 3 OR (dn = 1 AND dr <= 7) OR (wn = 1 AND wr <= 4) OR (mn = 1 AND mr <= 2) AS kept FROM r""")
 def retention(spark, d):
     """A16, V14."""
-    return ops.retain(fx.snapshots(spark, d), last=3, daily=7, weekly=4, monthly=2)
+    return ops.retain(fx.snapshots(spark, d).select("at", "time_ns"), last=3, daily=7, weekly=4, monthly=2)
 
 
 @query(f'SELECT "at", {DAY} AS day, {WEEK} AS week, {MONTH} AS month FROM snap')
@@ -31,15 +31,12 @@ def calendar(spark, d):
 
 
 @query("""
-WITH RECURSIVE c AS (SELECT "at", "at" AS newest, 0 AS depth FROM snap WHERE "at" % 100 = 0 UNION ALL SELECT s."at", c.newest, c.depth + 1 FROM c JOIN snap s ON s."at" = c."at" - 3 WHERE c.depth < 12)
+WITH RECURSIVE c AS (SELECT "at" AS newest, 0 AS depth, "at", prev FROM snap WHERE "at" NOT IN (SELECT prev FROM snap WHERE prev IS NOT NULL)
+    UNION ALL SELECT c.newest, c.depth + 1, s."at", s.prev FROM c JOIN snap s ON s."at" = c.prev)
 SELECT newest, depth, "at" FROM c""")
 def snapshot_chain(spark, d):
-    """Each snapshot names the one before; walked newest first."""
-    fx.snapshots(spark, d).createOrReplaceTempView("stowage_snap")
-    return spark.sql("""
-        WITH RECURSIVE c AS (SELECT at, at AS newest, 0 AS depth FROM stowage_snap WHERE at % 100 = 0
-            UNION ALL SELECT s.at, c.newest, c.depth + 1 FROM c JOIN stowage_snap s ON s.at = c.at - 3 WHERE c.depth < 12)
-        SELECT newest, depth, at FROM c""")
+    """Each snapshot names the one before; whole chains, newest first."""
+    return ops.chains(fx.snapshots(spark, d), ["store"]).filter("linked").select("newest", "depth", "at")
 
 
 def _mixed(spark, d):

@@ -21,15 +21,15 @@ def counter_diff(spark, d):
 
 
 @query("""
-WITH f AS (SELECT frame, CAST(sum(size) AS BIGINT) AS in_bytes, any_value(clen) AS clen FROM fr WHERE shard = 0 GROUP BY frame), p AS (SELECT frame, min(path) AS first FROM fr GROUP BY frame)
-SELECT f.frame, (frame_s * 1.0) AS seconds, round(in_bytes / 1e6 / greatest(frame_s, 1e-9), 3) AS mb_s, round(clen / greatest(in_bytes, 1), 4) AS ratio, concat(string_split(first, '/')[1], '/', string_split(first, '/')[2]) AS root
-FROM (SELECT *, CAST((frame % 50 + 1) * 1000000 AS DOUBLE) / 1e9 AS frame_s FROM f) f LEFT JOIN p ON f.frame = p.frame""")
+WITH f AS (SELECT shard, frame, CAST(sum(size) AS BIGINT) AS in_bytes, any_value(clen) AS clen FROM fr GROUP BY shard, frame), p AS (SELECT shard, frame, min(path) AS first FROM fr GROUP BY shard, frame)
+SELECT f.shard, f.frame, (frame_s * 1.0) AS seconds, round(in_bytes / 1e6 / greatest(frame_s, 1e-9), 3) AS mb_s, round(clen / greatest(in_bytes, 1), 4) AS ratio, concat(string_split(first, '/')[1], '/', string_split(first, '/')[2]) AS root
+FROM (SELECT *, CAST((frame % 50 + 1) * 1000000 AS DOUBLE) / 1e9 AS frame_s FROM f) f LEFT JOIN p ON f.shard = p.shard AND f.frame = p.frame""")
 def frame_costs(spark, d):
     """J11, V16, X23."""
     f = fx.framed(spark, d)
-    frames = f.filter("shard = 0").groupBy("frame").agg(F.sum("size").cast("long").alias("in_bytes"), F.max("clen").alias("clen"))
+    frames = f.groupBy("shard", "frame").agg(F.sum("size").cast("long").alias("in_bytes"), F.max("clen").alias("clen"))
     frames = frames.withColumn("t0_ns", F.lit(fx.T0)).withColumn("t1_ns", F.lit(fx.T0) + (F.col("frame") % 50 + 1) * 1_000_000)
-    return ops.frame_costs(frames, f)
+    return ops.frame_costs(frames, f, by=("shard", "frame"))
 
 
 @query("""
