@@ -243,7 +243,7 @@ def write(rows: DataFrame, out: str, frame_bytes_cap: int = 1 << 20, shards: int
             for shard, frame, payload in zip(*(batch.column(i) for i in range(3))):
                 k, raw = shard.as_py(), payload.as_py()
                 if k not in opened:
-                    opened[k], cursor[k] = open(shard_file(out, k), "wb"), 0
+                    opened[k], cursor[k] = open(f"{shard_file(out, k)}.part", "wb"), 0
                 opened[k].write(raw)
                 done.append({"shard": k, "frame": frame.as_py(), "coff": cursor[k], "clen": len(raw)})
                 cursor[k] += len(raw)
@@ -251,6 +251,7 @@ def write(rows: DataFrame, out: str, frame_bytes_cap: int = 1 << 20, shards: int
             if tar:
                 f.write(frame_bytes(b"\0" * 1024, level))
             f.close()
+            os.replace(f.name, shard_file(out, k))
         yield pa.RecordBatch.from_pylist(done, pa.schema([(n, pa.int64()) for n in ("shard", "frame", "coff", "clen")]))
 
     os.makedirs(os.path.dirname(out) or ".", exist_ok=True)
@@ -263,9 +264,12 @@ def write(rows: DataFrame, out: str, frame_bytes_cap: int = 1 << 20, shards: int
     places = places.withColumn("no", F.expr("row_number() OVER (ORDER BY shard, frame) - 1").cast("long"))
     index = placed.join(places, ["shard", "frame"]).select("path", "size", "mode", "mtime_ns", "uid", "gid", F.col("no").alias("frame"), (F.col("start") + F.col("hlen")).alias("in_off"), F.col("coff").alias("frame_coff"), F.col("clen").alias("frame_clen"), F.lit(-1).cast("long").alias("digest"), F.lit("").alias("link"), F.lit(None).cast("binary").alias("chunks"), F.lit(None).cast("binary").alias("extents"), "shard")
     target = out if shards == 1 else f"{out}.footer"
+    end = os.path.getsize(out) if shards == 1 and os.path.exists(out) else 0
 
     def store_index(batches):
-        with open(target, "ab" if shards == 1 else "wb") as f:
+        with open(target, "r+b" if end else "wb") as f:
+            f.truncate(end)  # what a lost attempt has written goes
+            f.seek(end)
             base, at, entries, leaves, held, first = f.tell(), f.tell(), [], [], [], 0
 
             def flush(table: pa.Table) -> None:

@@ -219,7 +219,10 @@ class Store:
             bodies = [raw[o : o + n] for o, n in zip(places.column("in_off").to_pylist(), places.column("len").to_pylist())]
             return pa.table({"path": places.column("path"), "out_off": places.column("out_off"), "body": pa.array(bodies, pa.binary())})
 
-        return one.unionByName(many).groupBy("shard", "frame").cogroup(self.frames().groupBy("shard", "frame")).applyInArrow(cut, "path string, out_off long, body binary")
+        places, frames = one.unionByName(many), self.frames()
+        if wanted is not None:  # payloads of other frames don't move
+            frames = frames.join(places.select("shard", "frame").distinct(), ["shard", "frame"], "left_semi")
+        return places.groupBy("shard", "frame").cogroup(frames.groupBy("shard", "frame")).applyInArrow(cut, "path string, out_off long, body binary")
 
     def contents(self, at: int | None = None, wanted=None) -> DataFrame:
         """path, content of the wanted members."""
@@ -272,6 +275,8 @@ class Store:
     def gc(self, **policy) -> list[int]:
         """Keep the snapshots of a retention policy and the frames they need; the chain is named anew. Returns what was kept."""
         chain = self.chain()
+        if not chain:
+            return []
         kept = {r.at for r in retention.retain(self.snapshots().select("at", "time_ns"), **policy).filter("kept").collect()}
         new = Store(self.spark, f"{self.root}.gc")
         fs, p = self._fs(new.root)
