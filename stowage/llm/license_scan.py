@@ -76,7 +76,7 @@ NOTICES = {
     "proprietary": ("All rights reserved.", "Copyright (c) the authors. All rights reserved.", "This software is confidential and proprietary; no part may be copied or redistributed without written permission."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Dedicated to the public domain."),
 }
-UNNAMED = ("Licensed under the license.", "This work is licensed under a license.", "See the license for details.", "Released under an open source license.", "Permission to copy is granted under the following license.", "The software is provided as is, without warranty of any kind, express or implied.", "This software is distributed without any warranty, without even the implied warranty of merchantability or fitness for a particular purpose.")
+UNNAMED = ("Licensed under the license.", "Subject to the terms of the public license.", "The license of this project.", "It uses the open license.", "This work is licensed under a license.", "See the license for details.", "Released under an open source license.", "Permission to copy is granted under the following license.", "The software is provided as is, without warranty of any kind, express or implied.", "This software is distributed without any warranty, without even the implied warranty of merchantability or fitness for a particular purpose.")
 UNNAMED_HELD_OUT = ("The program is provided as is without warranty of any kind.", "Distributed under the following license.")
 #: Words that speak of licences, and sentences that use them otherwise.
 MARKERS = "license licensed licenses licensing licence licenced copyright copyrighted rights reserved redistribute redistribution redistributed permission permitted spdx-license-identifier gnu gpl lgpl agpl mpl bsd apache mozilla cc cc0 creative commons proprietary warranty".split()
