@@ -22,7 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_token_counts": token_counts.ORACLE,
         "op2_quality_rules": quality_rules.oracle(),
         "op4_curriculum_mixing": mixing.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
