@@ -241,13 +241,13 @@ class Scanner:
 
 
 def negatives(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """MAX_NEGATIVES different first paragraphs (of the first SAMPLED characters of a text) without a marker, first in an order by hash."""
-    line = paragraphs(F.substring(column(text), 1, SAMPLED))[0]
+    """Different first paragraphs without a marker, of MAX_NEGATIVES texts that are first in an order by hash (of their first SAMPLED characters)."""
+    starts = docs.select(F.substring(column(text), 1, SAMPLED).alias("start")).filter("start <> ''").withColumn("h", F.xxhash64("start"))
+    first = starts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy("h").limit(MAX_NEGATIVES).select(F.col("h").alias("of"))
+    chosen = starts.join(F.broadcast(first), F.col("h") == F.col("of")).select("start").distinct()  # MAX_NEGATIVES rows
     marker = F.lit(r"(^|[^a-z0-9])(" + "|".join(sorted(MARKERS)) + r")($|[^a-z0-9])")
-    lines = docs.select(line.alias("paragraph")).filter((F.length("paragraph") > 0) & ~F.regexp_like(F.lower("paragraph"), marker)).withColumn("h", F.xxhash64("paragraph"))
-    first = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy("h").limit(MAX_NEGATIVES).select(F.col("h").alias("of"))
-    chosen = lines.join(F.broadcast(first), F.col("h") == F.col("of"))  # MAX_NEGATIVES rows
-    return scratch.keep(chosen.select("paragraph").distinct(), "negatives")
+    lines = scratch.keep(chosen, "starts").select(paragraphs(F.col("start"))[0].alias("paragraph"))
+    return lines.filter(~F.regexp_like(F.lower("paragraph"), marker) & (F.length("paragraph") > 0)).distinct()
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
