@@ -91,9 +91,10 @@ def is_menu(line: Column) -> Column:
     Most lines are told by their first word. Of the others, words are set one blank apart, and all menu items are
     taken out, the longest first: no part of an item of several words that begins one is an item that leaves its rest an item.
     """
-    begins = F.regexp_like(line, F.lit(f"(?iu)^{EDGE}*(?:{_longest_first(MENU_WORDS)})(?:{EDGE}|\\z)"))
+    items = _longest_first(MENU_WORDS)
+    begins = F.regexp_like(line, F.lit(f"(?iu)^{EDGE}*(?:{items.replace(' ', EDGE + '+')})(?:{EDGE}|\\z)"))
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(line), f"{EDGE}+", " ")), F.lit(" "))
-    return begins & (F.trim(F.regexp_replace(plain, f" (?:{_longest_first(MENU_WORDS)})(?= )", "")) == "")
+    return begins & (F.trim(F.regexp_replace(plain, f" (?:{items})(?= )", "")) == "")
 
 
 def line_fails(line: Column, r: Rules = Rules()) -> Column:
