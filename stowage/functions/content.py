@@ -1,6 +1,7 @@
 """What only bytes can tell: digests, content-defined chunks, frames, tar headers, roots.
 
 Spark has no BLAKE2, no Zstandard function and no rolling hash, so these are Arrow functions over batches.
+A batch of contents (10,000 rows or 64 MB) is held once, as Arrow; Python takes one content at a time out of it.
 The rolling hash of a whole content is made by six shifted additions of numpy arrays, not byte by byte.
 """
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 #: Fixed values of chunking: sizes, seed of the gear table, shift of the masks, and the size below which a file is one chunk.
 MIN_CHUNK, AVG_CHUNK, MAX_CHUNK, ONE_CHUNK = 16 << 10, 64 << 10, 512 << 10, 128 << 10
@@ -108,15 +109,20 @@ def chunk_set_delta(new: DataFrame, old: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("chunks"), F.sum("len").alias("bytes"), F.count(F.when(F.col("known").isNull(), 1)).alias("new_chunks"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("len"))), F.lit(0)).alias("new_bytes"))
 
 
-@pandas_udf(T.LongType())
-def digest64(content: pd.Series) -> pd.Series:
+def each(f, contents: pa.Array, kind: pa.DataType) -> pa.Array:
+    """f of every content, null of null; only one content at a time is a Python object."""
+    return pa.array((None if (raw := x.as_py()) is None else f(raw) for x in contents), kind)
+
+
+@arrow_udf(T.LongType())
+def digest64(content: pa.Array) -> pa.Array:
     """The first eight bytes of a BLAKE2b digest, little-endian and signed; null for null."""
-    return content.map(lambda x: None if x is None else struct.unpack("<q", hashlib.blake2b(x, digest_size=32).digest()[:8])[0]).astype("Int64")
+    return each(lambda x: struct.unpack("<q", hashlib.blake2b(x, digest_size=32).digest()[:8])[0], content, pa.int64())
 
 
-@pandas_udf(T.BinaryType())
-def blake2b256(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: None if x is None else hashlib.blake2b(x, digest_size=32).digest())
+@arrow_udf(T.BinaryType())
+def blake2b256(content: pa.Array) -> pa.Array:
+    return each(lambda x: hashlib.blake2b(x, digest_size=32).digest(), content, pa.binary())
 
 
 def incompressible(raw: bytes) -> bool:
@@ -148,26 +154,43 @@ def frame_bytes(raw: bytes, level: int = 3) -> bytes:
     return stored_frame(raw) if incompressible(raw) else zstandard.ZstdCompressor(level=level).compress(raw)
 
 
-@pandas_udf(T.BinaryType())
-def zstd_frame(content: pd.Series) -> pd.Series:
-    """One Zstandard frame, stored if the content doesn't compress."""
-    return content.map(lambda x: None if x is None else frame_bytes(x))
+def frame_size(frame: bytes) -> int:
+    """The content size that a frame's header declares; nothing is inflated."""
+    import zstandard
 
+    return zstandard.get_frame_parameters(frame).content_size
 
-@pandas_udf(T.BinaryType())
-def zstd_unframe(frame: pd.Series) -> pd.Series:
-    import zstandard
 
-    d = zstandard.ZstdDecompressor()
-    return frame.map(lambda x: None if x is None else d.decompress(x))
+@arrow_udf(T.LongType())
+def zstd_declared(frame: pa.Array) -> pa.Array:
+    """``frame_size`` of every frame."""
+    return each(frame_size, frame, pa.int64())
 
 
-@pandas_udf(T.LongType())
-def zstd_declared(frame: pd.Series) -> pd.Series:
-    """The content size that a frame's header declares; nothing is inflated."""
-    import zstandard
+def framed_again(docs: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """key, size, declared, same: each content put in one Zstandard frame, the size in its header, and whether the same comes out.
 
-    return frame.map(lambda x: None if x is None else zstandard.get_frame_parameters(x).content_size).astype("Int64")
+    Frame and copy live for one row. As columns they would go between Spark and Python, a batch of each at once.
+    """
+
+    def run(batches):
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+
+        def one(raw: bytes) -> dict:
+            frame = frame_bytes(raw)
+            return {"size": len(raw), "declared": frame_size(frame), "same": d.decompress(frame) == raw}
+
+        kind = pa.struct([("size", pa.int32()), ("declared", pa.int64()), ("same", pa.bool_())])
+        for batch in batches:
+            found = each(one, batch.column(1), kind)
+            keys = batch.column(0).take(pa.array(range(len(found)), pa.int64()))
+            del batch  # a copy of the keys lets the contents go before the next batch comes
+            yield pa.RecordBatch.from_arrays([keys, *found.flatten()], names=[key, "size", "declared", "same"])
+
+    named = docs.select(key, content)
+    return named.mapInArrow(run, f"{key} {named.schema[key].dataType.simpleString()}, size int, declared long, same boolean")
 
 
 def header_bytes(path: str, size: int, mtime: int, mode: int = 0o644, link: str = "", kind: bytes = tarfile.REGTYPE) -> bytes:
@@ -279,8 +302,8 @@ def literal_bytes(old: bytes, new: bytes, block: int) -> int:
 
 
 def rolling_literal(old: str, new: str, block: int):
-    @pandas_udf(T.LongType())
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([literal_bytes(x or b"", y or b"", block) for x, y in zip(a, b)], dtype="int64")
+    @arrow_udf(T.LongType())
+    def count(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array((literal_bytes(x.as_py() or b"", y.as_py() or b"", block) for x, y in zip(a, b)), pa.int64())
 
     return count(old, new)

@@ -41,8 +41,7 @@ def chunk_delta(spark, d):
 @query()
 def zstd_frames(spark, d):
     """Frames with declared size, and what comes out of them again."""
-    z = _docs(spark, d).select("doc_id", "content", ops.zstd_frame("content").alias("frame"))
-    return z.select("doc_id", F.octet_length("content").alias("size"), ops.zstd_declared("frame").alias("declared"), (ops.zstd_unframe("frame") == F.col("content")).alias("same"))
+    return ops.framed_again(_docs(spark, d))
 
 
 @query()

@@ -5,6 +5,7 @@ import io
 import os
 import random
 import tarfile
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -236,6 +237,53 @@ def test_frames_and_probe(spark):
     assert ct.merkle(rows.limit(0), "k", F.col("leaf")).first().root == hashlib.blake2b(b"", digest_size=32).hexdigest()
 
 
+def python_bytes(df):
+    """Bytes that a collected plan without exchanges sent to Python, and got back."""
+    todo, sent, back = [df._jdf.queryExecution().executedPlan()], 0, 0
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("pythonDataReceived"):
+            sent, back = sent + node.metrics().apply("pythonDataSent").value(), back + node.metrics().apply("pythonDataReceived").value()
+    return sent, back
+
+
+def test_frames_of_a_column(spark):
+    """What comes out, and that neither frames nor copies of the contents go back to Spark."""
+    noise = random.Random(2).randbytes(400_000)
+    texts = [None, b"", b"a", noise, b"text " * 80_000, noise[:1000]]
+    rows = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(texts)], "doc_id long, content binary").coalesce(1)
+    out = ct.framed_again(rows)
+    expected = [(i, None, None, None) if x is None else (i, len(x), len(x), True) for i, x in enumerate(texts)]
+    assert sorted(tuple(r) for r in out.collect()) == expected
+
+    sent, back = python_bytes(out)
+    assert sent > 800_000 and back < 10_000
+
+
+def test_zstd_frames_returns_no_contents(spark):
+    from stowage.plans import content_queries
+
+    df = content_queries.zstd_frames(spark, "/root/testdata/sf0.001")
+    assert all(r.size == r.declared and r.same for r in df.collect())
+    sent, back = python_bytes(df)
+    assert 0 < back < sent / 10
+
+
+def test_contents_are_taken_one_at_a_time():
+    """Python's own objects stay near one content, however many a batch holds."""
+    size, n = 200_000, 60
+    held = pa.array([bytes([i]) * size for i in range(n)] + [None], pa.binary())
+    for f in (lambda: ct.each(lambda x: len(zstandard.ZstdDecompressor().decompress(ct.frame_bytes(x))), held, pa.int64()), lambda: ct.digest64.func(held), lambda: ct.blake2b256.func(held)):
+        f()
+        tracemalloc.start()
+        out = f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == n + 1 and out.null_count == 1 and out[n].as_py() is None
+        assert peak < 5 * size
+
+
 def test_rolling_literal():
     old = random.Random(3).randbytes(50_000)
     assert ct.literal_bytes(old, old, 4096) == len(old) % 4096
